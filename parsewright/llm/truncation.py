@@ -24,7 +24,7 @@ DEVIATIONS, LEAST_EXCESS = 6.0, 4
 #: Lengths around, on either side, that tell how many texts to expect.
 AROUND = 60
 
-_OMISSION = re.compile(r"(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|cont\.?)[^\]]{0,40}\]|\((?:cont(?:inued|\.|['’]d)?|truncated|more|cut|abridged)[^)]{0,30}\)?|<\s*truncated\s*>|…|\.\.\.|(?:read|show|see) more\W*|\btruncated\b\W*|\(continued on [^)]*\)?|<!--[^>]*(?:-->)?)\s*$", re.I)
+_OMISSION = re.compile(r"(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|cont\.?)[^\]]{0,40}\]|\((?:cont(?:inued|\.|['’]d)?|truncated|more|cut|abridged)[^)]{0,30}\)?|<\s*truncated\s*>|…|\.\.\.|(?:read|show|see) more\W*|\btruncated\b\W*|[\[<(](?:[a-z]+ ){0,4}(?:cut|cut off|limit|reached|exceeded|omitted|remainder|abridged|incomplete)(?: [a-z]+){0,3}[\]>)]|\(continued on [^)]*\)?|<!--[^>]*(?:-->)?)\s*$", re.I)
 _PAGE = re.compile(r"^\W*(?:(?:p|pp|page|seite|página|pág|s)\b\.?\s*)?(?:\d{1,4}|[ivxlc]{1,7})(?:\s*(?:of|/|von|de|sur)\s*\d{1,4})?[\s|*»\])–—-]*(?:\|?\s*p\s?a\s?g\s?e)?[\s|*»\])–—-]*$", re.I)
 _HEAD = re.compile(r"\(\d{4}\)\s*\d+\s*[–-]\s*\d+|\bet al\.?\s*(?:\d+)?$", re.I)
 # Beginnings of notes that stand after a paper's text and end without a mark.
