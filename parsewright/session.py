@@ -56,3 +56,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, and safe from lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable for Python workers that have no path to it; once a session."""
+    import os
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_parsewright_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="parsewright-"), "parsewright.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith((".py", ".json")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("parsewright", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._parsewright_shipped = True
