@@ -126,7 +126,7 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
             continue
         if _NUMBERED.search(line) and len(cells_of(line)) < 3 and len(keys[i]) >= 3 and not re.match(r"^\d+\s{2,}[a-z]", line):
             running.add(i)
-        elif len(keys[i]) >= 4 and len(line) <= 70 and _repeated(i, keys, near) and (line.isupper() or line[:1].isupper()):
+        elif len(keys[i]) >= 4 and len(line) <= 70 and "=" not in line and _repeated(i, keys, near) and (line.isupper() or line[:1].isupper() and _beside_number(i, filled, place, pages | feeds) and sum(w in _RUNNING for w in line.lower().split()) < 3):
             running.add(i)
     # a header stands above the head of the paper as well; a title, which authors follow, doesn't count as one
     for i in head[:1]:
@@ -137,6 +137,11 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     return pages, running
 
 
+def _beside_number(i: int, filled: list[int], place: dict[int, int], edges: set[int]) -> bool:
+    k = place[i]
+    return i in edges or any(0 <= j < len(filled) and filled[j] in edges for j in (k - 1, k + 1))
+
+
 def _heading_like(line: str) -> bool:
     line = line.strip()
     return bool(_ET_AL.match(line) or len(line) <= 90 and _JOURNAL.search(line) or len(line.split()) == 1 and len(line) < 25 and line[:1].isupper() and not _END.search(line))
@@ -194,7 +199,7 @@ def readings(word: str) -> set[str]:
             for true in trues:
                 out.add(word[:at] + true + word[at + len(read) :])
             at = word.find(read, at + 1)
-    if word in _SHORT:
+    if word in _SHORT or len(word) < 3 and not word.isalpha():
         return set()
     return {w for w in out if w != word and all(c.isalpha() or c in "-'’" for c in w)}
 
