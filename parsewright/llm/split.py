@@ -197,10 +197,12 @@ def _emit(parts: DataFrame, ranges: DataFrame, id_type: str) -> DataFrame:
 
 
 def to_ranges(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", unit_col: str = "unit", size_col: str = "chunk_size", overlap_col: str = "chunk_overlap", spread: bool = True) -> DataFrame:
-    """Texts as ranges with halos. A text whose characters fit its limit is left out: no unit is shorter than a character."""
+    """Texts as ranges with halos. A text that fits its limit by an upper bound of its units is left out."""
     size, overlap = F.col(size_col).cast("int"), F.greatest(F.coalesce(F.col(overlap_col).cast("int"), F.lit(0)), F.lit(0))
     text, unit = F.col(text_col), F.when(F.col(unit_col) == "token", "token").otherwise("char")
-    known = df.where((size > 0) & (F.length(text) > size.cast("bigint") + overlap))
+    # tokens are at most the blanks between them and one
+    most_units = F.when(F.col(unit_col) == "token", F.length(text) - F.length(F.translate(text, " \t\r\n", "")) + 1).otherwise(F.length(text))
+    known = df.where((size > 0) & (most_units > size.cast("bigint") + overlap))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, unit, size, overlap).alias("hash"))
     rows = known.select(key.alias("key"), unit.alias("unit"), size.alias("chunk_size"), overlap.alias("overlap"), text.alias("whole"), F.explode(F.sequence(F.lit(0), ((F.length(text) - 1) / RANGE).cast("int"))).alias("range_no"))
     at = F.col("range_no") * RANGE
