@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parsewright.llm.boosting import BoostedTrees
+from parsewright.session import cut_lineage
 
 KINDS = ("prose", "list", "table", "junk")
 #: The trees are fitted on at most so many weakly labelled rows of each kind, those with the smallest hash.
@@ -40,6 +41,14 @@ _PAIR = re.compile(r"^\S{1,24}(?:\s\S{1,24}){0,3}\s*[=:;]\s+\S")
 _NUMERIC = re.compile(r"^[\s($\[]*[-–<>=]?\s*(?:p\s*[<=]\s*)?[-–]?\d*\.?\d+[\d.,;:%\s)\]–-]*$|^[-–—]?$")
 _RULE = re.compile(r"^[\s|:=+-]+$|^\\(?:begin|end|hline|toprule|midrule|bottomrule)\b.*$")
 
+_BLANKS = re.compile(r"\s+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_VOWEL = re.compile("[aeiouyàáâäåèéêëìíîïòóôöùúûü]")
+_CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]{5}")
+_RUNS = re.compile(r"([^\w\s.])(?:\s?\1){3,}|(?:\(cid:\d+\)\s?){2,}|(?:/G\d+\s?){2,}|\ufffd+")
+
 FEATURES = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "letters_logp", "letter_share", "digit_share", "odd_words", "vowels", "cells", "numeric_cells", "marked", "leaders", "sources", "pairs", "bare", "sentences", "line_length", "distinct_words", "repeated_symbols", "long_words")
 
 
@@ -82,6 +91,7 @@ def letter_codes(text: str) -> np.ndarray:
 
 _BASE = str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
 PAIRS = 28 * 28
+_INNER = np.outer(np.arange(28) > 0, np.arange(28) > 0).ravel()  # letter after letter
 
 
 def letter_pairs(text: str) -> np.ndarray:
@@ -93,31 +103,29 @@ def statistics(content: str, fmt: str | None, language: str | None, common: dict
     """The FEATURES of one content that is not blank. Shares of lines are shares of their characters."""
     lines = to_lines(content, fmt)
     text = "\n".join(lines)
-    words = [w.lower() for w in _WORD.findall(text)]
-    n = max(1, sum(not c.isspace() for c in text))
-    letters = sum(c.isalpha() for c in text)
-    digits = sum(c.isdigit() for c in text)
+    words = _WORD.findall(text.lower())
+    n = max(1, len(_BLANKS.sub("", text)))
+    letters = len(_NO_LETTERS.sub("", text))
+    digits = len(_DIGIT.findall(text))
     n_words = max(1, len(words))
-    hits = {lang: sum(w in s for w in words) / n_words for lang, s in common.items()}
+    counted = Counter(words)
+    hits = {lang: sum(c for w, c in counted.items() if w in s) / n_words for lang, s in common.items()}
+    known_words = frozenset().union(*common.values())
     declared = (language or "").strip().lower()[:2]
     share = hits[declared] if hits.get(declared, 0) >= 0.15 else max(hits.values(), default=0.0)
     pairs = letter_pairs(text)
-    pairs[0] = 0  # between marks and blanks
-    plausible = float((pairs * logp).sum() / max(1, pairs.sum()))
-    inner = np.ones(PAIRS, bool).reshape(28, 28)
-    inner[0], inner[:, 0] = False, False
-    at = inner.ravel()
+    at = _INNER
     plausible_inner = float((pairs * logp)[at].sum() / max(1, pairs[at].sum())) if pairs[at].sum() >= 30 else -2.6
-    vowels = sum(c in "aeiouyàáâäåèéêëìíîïòóôöùúûü" for w in words for c in w) / max(1, letters)
-    odd = sum(not re.search("[aeiouyàáâäåèéêëìíîïòóôöùúûü]", w) and len(w) > 2 or bool(re.search("[bcdfghjklmnpqrstvwxz]{5}", w)) for w in words) / n_words
+    vowels = len(_VOWEL.findall(" ".join(words))) / max(1, letters)
+    odd = sum(c for w, c in counted.items() if len(w) > 2 and not _VOWEL.search(w) or _CONSONANTS.search(w)) / n_words
     weight = Counter()
     numeric = n_cells = 0
     for line in lines:
-        size = sum(not c.isspace() for c in line)
+        size = len(_BLANKS.sub("", line))
         cells = cells_of(line)
         own = _WORD.findall(line)
         ends = bool(_END.search(line.rstrip()))
-        known = sum(any(w.lower() in s for s in common.values()) for w in own) / max(1, len(own))
+        known = sum(w.lower() in known_words for w in own) / max(1, len(own))
         weight["ends"] += size * ends
         if len(cells) >= 3:
             weight["cells"] += size
@@ -136,9 +144,9 @@ def statistics(content: str, fmt: str | None, language: str | None, common: dict
         elif len(line) < 80 and not ends:
             weight["bare"] += size
     at_line = [weight[k] / n for k in ("cells", "leaders", "sources", "marked", "pairs", "sentences", "bare")]
-    runs = sum(len(m.group()) for m in re.finditer(r"([^\w\s.])(?:\s?\1){3,}|(?:\(cid:\d+\)\s?){2,}|(?:/G\d+\s?){2,}|�+", text))
+    runs = sum(len(m.group()) for m in _RUNS.finditer(text))
     long_words = sum(len(t) for t in text.split() if len(t) > 30) / n
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
+    symbols = len(_SYMBOL.findall(text))
     return [len(words), sum(map(len, words)) / n_words, symbols / n, weight["ends"] / n, share, plausible_inner, letters / n, digits / n, odd, vowels, at_line[0], numeric / max(1, n_cells), at_line[3], at_line[1], at_line[2], at_line[4], at_line[6], at_line[5], min(400.0, n / max(1, len(lines))), len(set(words)) / n_words, runs / n, long_words]
 
 
@@ -229,7 +237,7 @@ def fit_kinds(stats: DataFrame, id_col: str = "parse_id") -> BoostedTrees:
 def _by_hash(id_col: str):
     from pyspark.sql import Window
 
-    # salted: no task ranks all rows of one kind; of each part, as many as the whole sample may hold
+    # only the first of each task's rows are shuffled (WindowGroupLimit), so a frequent kind gathers no more than a rare one
     return Window.partitionBy("weak_kind").orderBy(F.xxhash64(F.col(id_col), F.col("word_count"), F.col("mean_word_length")))
 
 
@@ -240,7 +248,7 @@ def classify(df: DataFrame, common_words: DataFrame, id_col: str = "parse_id", *
     Null, empty and blank contents have no row; a null format or metadata is allowed, a wrong language
     is overruled by the text. Equal rows come out each. Other columns play no part.
     """
-    stats = text_statistics(df, common_words, id_col, **columns)
+    stats = cut_lineage(text_statistics(df, common_words, id_col, **columns))  # a few numbers a row, read for the fit and for the result
     shared = df.sparkSession.sparkContext.broadcast(fit_kinds(stats, id_col))
     kind = df.schema[id_col].dataType.simpleString()
     named = FEATURES[:5]
