@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from parsewright.llm.corpus import FLUSH
 from parsewright.llm.quality import cells_of
 from parsewright.llm.truncation import _RUNNING, unreadable
+from parsewright.session import cut_lineage
 
 #: A word is misread if a confusion makes it a word this many times as frequent, that occurs so often at least.
 RATIO, LEAST_COUNT = 12, 6
@@ -257,7 +258,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_lookup(df: DataFrame, content_col: str = "content") -> DataFrame:
     """``key`` and ``value`` over the whole corpus: ``m:word`` -> what it should read, ``s:left|right`` -> how the
     pieces of a word at a line's end go together (``joined``, ``hyphen`` or ``apart``)."""
-    counted = df.where(F.col(content_col).isNotNull()).select(content_col).mapInArrow(_count, "word string, right string, n bigint").groupBy("word", "right").agg(F.sum("n").alias("n")).persist()
+    counted = cut_lineage(df.where(F.col(content_col).isNotNull()).select(content_col).mapInArrow(_count, "word string, right string, n bigint").groupBy("word", "right").agg(F.sum("n").alias("n")))
     words = counted.where("right is null").select("word", "n")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +372,7 @@ def _like(token: str, lookup: dict[str, str]) -> str:
 def _with_lookup(df: DataFrame, id_col: str, content_col: str, most_broadcast: int, make, schema: str) -> DataFrame:
     """``make(content, lookup)`` for each row; the lookup is broadcast if its size allows, else each row gets its own part by a join."""
     kind = df.schema[id_col].dataType.simpleString()
-    lookup = build_lookup(df, content_col).persist()
+    lookup = cut_lineage(build_lookup(df, content_col))
     known = df.where(F.col(content_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
     if lookup.limit(most_broadcast + 1).count() <= most_broadcast:
         table = {r.key: r.value for r in lookup.collect()}  # bounded by the check
