@@ -156,12 +156,12 @@ def _author_line(line: str) -> bool:
 def _is_prefix(k: str, title: str) -> bool:
     if not title or len(k) > len(title) + 2:
         return False
-    return title.startswith(k) or len(k) >= 14 and SequenceMatcher(None, k, title[: len(k)], autojunk=False).ratio() >= 0.86
+    return title.startswith(k) or len(k) >= 14 and (k[:3] == title[:3] or k[3:8] == title[3:8]) and SequenceMatcher(None, k, title[: len(k)], autojunk=False).ratio() >= 0.86
 
 
 def _repeated(i: int, keys: dict[int, str], near: set[int]) -> bool:
     k = keys[i]
-    return any(j != i and (keys[j] == k or len(k) >= 8 and abs(len(keys[j]) - len(k)) <= 2 and SequenceMatcher(None, k, keys[j], autojunk=False).ratio() >= 0.88) for j in near if j in keys)
+    return any(j != i and (keys[j] == k or len(k) >= 8 and abs(len(keys[j]) - len(k)) <= 2 and (keys[j][:3] == k[:3] or keys[j][-3:] == k[-3:]) and SequenceMatcher(None, k, keys[j], autojunk=False).ratio() >= 0.88) for j in near if j in keys)
 
 
 def is_scanned_candidate(content: str) -> bool:
