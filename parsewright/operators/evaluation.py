@@ -39,7 +39,7 @@ def score_single(answer: Column, truth: Column, choices: Column) -> Column:
 
 def score_multiple(answer: Column, truth: Column, choices: Column, other: Column | None = None) -> Column:
     """Every capital letter is a choice (so is one inside a word); sets of plain values are compared. Z counts as 0;
-    ``other`` is the text that a follow-up gave for Y."""
+    ``other`` is the text that a follow-up gave for Y. No choice and no true answer are equal, being empty sets."""
     letters = F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(F.coalesce(answer, F.lit(""))), F.lit("[A-Z]"), F.lit(0))))
     value = lambda k: F.get(F.transform(F.filter(choices, lambda c: F.upper(c["key"]) == k), lambda c: c["value"]), F.lit(0))
     named = F.transform(F.filter(F.transform(letters, value), lambda x: x.isNotNull() & (x != "")), T.plain)
