@@ -104,6 +104,7 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
         start += 1
     title_lines = head[start : start + 3]
     title = _key(" ".join(lines[i] for i in title_lines))
+    titled = any(_author_line(lines[i]) for i in head[start + 1 : start + 4])  # else the first lines may be running text
     names = {_key(w) for i in head[start + 1 : start + 4] if _author_line(lines[i]) for w in re.findall(r"[^\W\d_][\w'’-]+(?=\s*(?:,|;|&|$|\band\b))", lines[i])}
     running: set[int] = set()
     keys = {i: _key(lines[i]) for i in body}
@@ -119,7 +120,7 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
             running.add(i)
         elif k in names and len(line.split()) <= 3 and (i in near or numbered):
             running.add(i)
-        elif len(k) >= 10 and i not in title_lines and _is_prefix(k, title) and not _END.search(line.rstrip(": ")):
+        elif len(k) >= 10 and i not in title_lines and (titled or line.isupper() or numbered) and _is_prefix(k, title) and not _END.search(line.rstrip(": ")):
             running.add(i)
     for i in body:
         line = lines[i].strip()

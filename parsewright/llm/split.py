@@ -91,7 +91,7 @@ def choose_cuts(n_units: int, size: int, overlap: int, at: list[int], ranks: lis
         if n_units - start <= size:
             return [*ends, n_units]
         most = start + size
-        least = done + max(1, int((most - done) * LEAST_FILL))
+        least = max(done + max(1, int((most - done) * LEAST_FILL)), overlap)  # the first piece must hold what it shares
         lo, hi = bisect.bisect_left(at, least), bisect.bisect_right(at, most)
         done = max(((ranks[k], at[k]) for k in range(lo, hi)), default=(0, most))[1]
         ends.append(done)
@@ -142,13 +142,15 @@ def _parts(plan: DataFrame, id_type: str) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             rows: list[tuple] = []
-            for i, (size, overlap, counts, cuts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chunk_size", "overlap", "range_units", "cuts")))):
+            for i, (unit, size, overlap, counts, cuts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "chunk_size", "overlap", "range_units", "cuts")))):
                 overlap = min(overlap, size - 1)
                 offsets = np.cumsum([0, *counts]).tolist()
                 of: dict[int, list[dict]] = {}
                 for piece, end in enumerate(cuts):
                     start = max(0, cuts[piece - 1] - overlap) if piece else 0
                     a, b = bisect.bisect_right(offsets, start) - 1, bisect.bisect_left(offsets, end) - 1
+                    if unit == "token":  # a piece goes on to where the next token begins, be it in a later range
+                        b = bisect.bisect_right(offsets, end) - 1
                     a, b = (0 if not piece else min(a, len(counts) - 1)), (len(counts) - 1 if piece == len(cuts) - 1 else b)
                     for r in range(a, b + 1):
                         of.setdefault(r, []).append({"piece": piece, "n_parts": b - a + 1, "lo": max(0, start - offsets[r]), "hi": min(end - offsets[r], counts[r]), "first": r == a and piece > 0, "last": r == b and piece < len(cuts) - 1})
