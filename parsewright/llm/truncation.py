@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from parsewright.llm.corpus import count_words
 from parsewright.llm.quality import cells_of
+from parsewright.session import cut_lineage
 
 #: A limit shows if the texts of that length exceed what the lengths around lead to expect by so many deviations and texts.
 DEVIATIONS, LEAST_EXCESS = 6.0, 4
+#: Sources with limits up to which the limits are broadcast.
+MOST_SOURCES = 10_000
 #: Lengths around, on either side, that tell how many texts to expect.
 AROUND = 60
 
@@ -225,7 +228,10 @@ def find_truncated(df: DataFrame, id_col: str = "parse_id", content_col: str = "
     kind = df.schema[id_col].dataType.simpleString()
     content = F.col(content_col)
     known = df.where(content.rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), content.alias("content"))
-    limits = length_limits(df, source_col, content_col).groupBy("source").agg(F.collect_list(F.struct("measure", "size")).alias("limits"))  # a few numbers a source
+    limits = cut_lineage(length_limits(df, source_col, content_col).groupBy("source").agg(F.collect_list(F.struct("measure", "size")).alias("limits")))
+    # a few numbers a source: with sources in reason the texts stay where they are; otherwise Spark joins as it sees fit
+    if limits.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        limits = F.broadcast(limits)
     size = measures(F.col("k.content"))
     of = F.create_map(*(x for m, c in size.items() for x in (F.lit(m), c.cast("int"))))
     at_limit = F.coalesce(F.exists("l.limits", lambda x: of[x["measure"]] == x["size"]), F.lit(False))
@@ -241,7 +247,7 @@ def find_truncated(df: DataFrame, id_col: str = "parse_id", content_col: str = "
                 details.append(detail if state == "cut" or not at else "limit")
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(states, pa.string()), pa.array(details, pa.string())], names=["id", "source", "state", "detail"])
 
-    ends = joined.mapInArrow(run, f"id {kind}, source string, state string, detail string").where("state <> 'complete'")
+    ends = cut_lineage(joined.mapInArrow(run, f"id {kind}, source string, state string, detail string").where("state <> 'complete'"))  # few and small
     words = count_words(df, content_col, skip_line_ends=False)
     open_words = ends.where("state = 'open' and detail is not null").select(F.col("detail").alias("word")).distinct()
     unknown = open_words.join(words.where("n >= 2"), "word", "left_anti").select("word", F.lit("word").alias("reason"))
