@@ -124,6 +124,11 @@ def take_budget(pairs: DataFrame, budget: int, group: tuple[str, ...], score: st
     return out.drop("_sum")
 
 
+def cut_to_used(text: Column, tokens: str = "n_tokens") -> Column:
+    """The text of a row of ``take_budget``, cut to the ``used`` tokens where not all of its tokens were taken."""
+    return F.when(F.col("used") < F.col(tokens), F.array_join(F.slice(T.tokens(text), 1, F.col("used")), " ")).otherwise(text)
+
+
 def rerank(pairs: DataFrame, first_k: int, k: int, group: tuple[str, ...], scorer: Callable[[DataFrame], DataFrame], score: str = "score", second: str = "rerank_score", tie: str = "chunk_id") -> DataFrame:
     """Two stages: the ``first_k`` best rows go through ``scorer`` (which adds ``second``), and of those the k best
     come out. Equal second scores keep the first order. The scorer sees only the first stage's rows."""

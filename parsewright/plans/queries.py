@@ -204,13 +204,18 @@ scored AS (SELECT c.doc_name, q.query_id, c.chunk_id, c.text, len({_sql_tokens('
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read_table(spark, d, "chunks").where("text is not null").select("doc_name", "chunk_id", "text", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
-    questions = read_table(spark, d, "queries").where("type = 'numeric'").select("query_id")
+    """Every chunk with every question, without texts: those of the few rows that are kept are joined to them."""
+    chunks = read_table(spark, d, "chunks").where("text is not null").select("doc_name", "chunk_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+    questions = read_table(spark, d, "queries").select("query_id")
     digest = F.md5(F.concat_ws(":", "chunk_id", "query_id"))
     score = (F.ascii(digest) * 16 + F.ascii(F.substring(digest, 2, 1))) / F.lit(2000.0)
     return chunks.crossJoin(F.broadcast(questions)).withColumn("score", score)  # questions are a fixed list
 
 
+def _with_text(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    return hits.join(read_table(spark, d, "chunks").select("chunk_id", "text"), "chunk_id")
+
+
 @_query(f"""
 WITH {_SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_name, query_id ORDER BY score DESC, chunk_id) AS rank FROM scored),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY doc_name, query_id ORDER BY rank) AS running FROM r WHERE rank <= 10)
@@ -227,7 +232,8 @@ SELECT doc_name, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, CAST(least(n
 FROM c WHERE running <= 120 OR (rank = 1 AND n_tokens > 120)
 """)
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return R.take_budget(_scored(spark, d), 120, ("doc_name", "query_id")).select("doc_name", "query_id", "rank", "chunk_id", "used", "text")
+    taken = _with_text(spark, d, R.take_budget(_scored(spark, d), 120, ("doc_name", "query_id"), text=None))
+    return taken.select("doc_name", "query_id", "rank", "chunk_id", "used", R.cut_to_used(F.col("text")).alias("text"))
 
 
 @_query(f"""
@@ -237,7 +243,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY doc_name, query_id ORDER BY rera
 SELECT doc_name, query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM t WHERE rank <= 3
 """)
 def rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
-    best = R.rerank(_scored(spark, d), 10, 3, ("doc_name", "query_id"), lambda first: first.withColumn("rerank_score", F.length("text") % 17))
+    best = R.rerank(_scored(spark, d), 10, 3, ("doc_name", "query_id"), lambda first: _with_text(spark, d, first).withColumn("rerank_score", F.length("text") % 17))
     return best.select("doc_name", "query_id", "rank", "chunk_id")
 
 
@@ -246,7 +252,7 @@ WITH {_SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_name, qu
 SELECT doc_name, query_id, string_agg(text, chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY ALL
 """)
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return G.assemble_context(R.take_top(_scored(spark, d), 3, ("doc_name", "query_id")), ("doc_name", "query_id"))
+    return G.assemble_context(_with_text(spark, d, R.take_top(_scored(spark, d), 3, ("doc_name", "query_id"))), ("doc_name", "query_id"))
 
 
 @_query("""
