@@ -514,13 +514,19 @@ def accuracy_cube(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "trials").cube("parser", "mode").agg(F.round(F.avg("overall_average_accuracy"), 6).alias("mean_accuracy"), F.count("*").alias("n"))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The newest content of each document by each parser; a null one only where there is no other."""
+    docs = read_table(spark, d, "parsed_docs").select("doc_name", "parser", F.col("content").isNotNull().alias("there"), "parsed_at", "parse_id", "content")
+    return C.newest_by(docs, ("doc_name", "parser"), ("there", "parsed_at", "parse_id")).select("doc_name", "parser", "content")
+
+
 @_query("""
 SELECT o.doc_name, q.query_id, substring(translate(upper(md5(replace(q.prompts.base_prompt, '{context}', o.doc_name))), '0123456789', 'GHIJKLMNOP'), 1, 1) AS raw_output FROM outcomes o, queries q WHERE q.prompts.base_prompt IS NOT NULL
 """)
 def full_inference(spark: SparkSession, d: str) -> DataFrame:
     questions = read_table(spark, d, "queries").select("query_id", F.col("prompts.base_prompt").alias("base"))
-    pairs = G.full_inference(read_table(spark, d, "outcomes"), questions, lambda df: G.fill_context(F.col("base"), F.col("doc_name")))
-    return pairs.select("doc_name", "query_id", G.stub_answer(F.col("prompt")).alias("raw_output"))
+    pairs = G.full_inference(_parsed(spark, d), questions, lambda df: G.fill_context(F.col("base"), F.col("content")))
+    return pairs.select("doc_name", "parser", "query_id", G.stub_answer(F.col("prompt")).alias("raw_output"), F.md5("prompt").alias("digest"))
 
 
 @_query("""
@@ -531,7 +537,8 @@ SELECT query_id, coalesce(string_agg(key, ',' ORDER BY i) FILTER (WHERE yes), 'Z
 def binary_decomposition(spark: SparkSession, d: str) -> DataFrame:
     asked = read_table(spark, d, "queries").where(F.size("prompts.binary_prompts") > 0).select("query_id", "choices", F.col("prompts.binary_prompts").alias("binary_prompts"))
     yes = lambda p: F.when(G.stub_answer(p).isin("A", "B", "C", "D", "G", "H"), "A").otherwise("B")
-    return G.binary_answers(asked, ("query_id",), "binary_prompts", "choices", F.lit(""), yes)
+    pairs = _parsed(spark, d).crossJoin(F.broadcast(asked))  # questions are a fixed list
+    return G.binary_answers(pairs, ("doc_name", "parser", "query_id"), "binary_prompts", "choices", F.col("content"), yes)
 
 
 @_query(r"""

@@ -1,5 +1,6 @@
 """Registered queries over small tables, against plain Python."""
 
+import datetime
 import hashlib
 
 from parsewright.plans import queries as Q
@@ -47,3 +48,32 @@ def test_retrieval_ranks_every_question(spark, tmp_path):
     assert run(Q.token_budget) == budget
     assert run(Q.rerank_two_stage) == reranked
     assert run(Q.context_assembly) == contexts
+
+
+def letter(prompt):
+    return hashlib.md5(prompt.encode()).hexdigest().upper().translate(str.maketrans("0123456789", "GHIJKLMNOP"))[0]
+
+
+def test_inference_reads_the_documents(spark, tmp_path):
+    at = [datetime.datetime(2024, 1, k) for k in (1, 2, 3)]
+    long = "wörter und {braces} " * 5000
+    parsed = [(1, "a", "x", "old", at[0]), (2, "a", "x", long, at[1]), (3, "a", "x", None, at[2]), (4, "a", "y", "same", at[0]), (5, "b", "x", "same", at[0]), (6, "b", "y", None, at[0]), (7, "c", "x", "tie 7", at[0]), (8, "c", "x", "tie 8", at[0])]
+    newest = {("a", "x"): long, ("a", "y"): "same", ("b", "x"): "same", ("b", "y"): "", ("c", "x"): "tie 8"}
+    choices = [(k, f"value {k}", None) for k in "ABCDE"]
+    base = {"1.1": "Read {context} now", "1.2": "No mark", "1.3": None}
+    binary = {"1.1": [f"Does {k} apply to {{context}}?" for k in "ABCDE"], "1.2": [f"Is {k} so?" for k in "ABCDE"], "1.3": []}
+    write(spark, tmp_path, "parsed_docs", parsed, "parse_id long, doc_name string, parser string, content string, parsed_at timestamp")
+    write(spark, tmp_path, "queries", [(q, choices, (base[q], binary[q])) for q in base], "query_id string, choices array<struct<key:string,value:string,description:string>>, prompts struct<base_prompt:string,binary_prompts:array<string>>")
+    write(spark, tmp_path, "outcomes", [(n, None) for n in "abc"], "doc_name string, outcome string")
+
+    prompts = {(*k, q): base[q].replace("{context}", text) for k, text in newest.items() for q in ("1.1", "1.2")}
+    got = {(r.doc_name, r.parser, r.query_id): (r.raw_output, r.digest) for r in Q.full_inference(spark, str(tmp_path)).collect()}
+    assert got == {k: (letter(p), hashlib.md5(p.encode()).hexdigest()) for k, p in prompts.items()}
+
+    want = {}
+    for k, text in newest.items():
+        for q in ("1.1", "1.2"):
+            want[*k, q] = ",".join(key for key, p in zip("ABCDE", binary[q]) if letter(p.replace("{context}", text)) in "ABCDGH") or "Z"
+    rows = Q.binary_decomposition(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.doc_name, r.parser, r.query_id): r.raw_output for r in rows} == want
+    assert len({want[*k, "1.1"] for k in newest}) > 1
