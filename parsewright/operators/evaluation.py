@@ -81,18 +81,20 @@ def _equal_values(value: Column, blocked: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(F.coalesce(T.plain(value) == T.plain(blocked), value.isNull() & blocked.isNull()))
 
 
-def applicability(results: DataFrame, rules: DataFrame) -> DataFrame:
-    """``doc_name``, ``query_id``, ``applicable``, ``ready`` for each document and each question that has rules.
+def applicability(results: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("doc_name",)) -> DataFrame:
+    """``keys``, ``query_id``, ``applicable``, ``ready`` for each document (of each trial, if the keys say so) and each
+    question that has rules.
 
-    ``results`` has ``doc_name``, ``query_id``, ``values``; ``rules`` has ``query_id``, ``depends_on``, ``blocked``
+    ``results`` has the keys, ``query_id``, ``values``; ``rules`` has ``query_id``, ``depends_on``, ``blocked``
     (one row a condition). A question is not applicable if for any condition all values of the question it
     depends on are blocked (no values at all are), and ready once all its dependencies have a result.
     """
-    docs = results.select("doc_name").distinct()
+    docs = results.select(*keys).distinct()
     pairs = docs.crossJoin(F.broadcast(rules.select("query_id", "depends_on", "blocked")))  # rules are a short list
-    held = pairs.alias("p").join(results.alias("r"), (F.col("p.doc_name") == F.col("r.doc_name")) & (F.col("p.depends_on") == F.col("r.query_id")), "left")
+    same = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
+    held = pairs.alias("p").join(results.alias("r"), [*same, F.col("p.depends_on") == F.col("r.query_id")], "left")
     blocked = F.col("r.query_id").isNotNull() & F.forall(F.coalesce(F.col("r.values"), F.expr(_STRINGS)), lambda v: _equal_values(v, F.col("p.blocked")))
-    return held.groupBy("p.doc_name", "p.query_id").agg(F.bool_and(F.col("r.query_id").isNotNull()).alias("ready"), (~F.bool_or(blocked)).alias("applicable"))
+    return held.groupBy(*(f"p.{k}" for k in keys), "p.query_id").agg(F.bool_and(F.col("r.query_id").isNotNull()).alias("ready"), (~F.bool_or(blocked)).alias("applicable"))
 
 
 def with_not_applicable(scored: DataFrame, rules_held: DataFrame) -> DataFrame:

@@ -27,6 +27,16 @@ def not_done(wanted: DataFrame, done: DataFrame, keys: tuple[str, ...]) -> DataF
     return wanted.alias("w").join(d.alias("d"), [F.col(f"w.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys], "left_anti")
 
 
+def not_done_items(groups: DataFrame, items: DataFrame, done: DataFrame, keys: tuple[str, ...], item: str) -> DataFrame:
+    """``not_done`` for each row of ``groups`` times ``items``, a short list: the groups alone are shuffled, with a list of
+    what is done of each; null keys and items match each other."""
+    d = done.groupBy(*keys).agg(F.collect_set(F.struct(item)).alias("_done"))
+    held = groups.alias("g").join(d.alias("d"), [F.col(f"g.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys], "left").select("g.*", "_done")
+    every = items.agg(F.collect_list(F.struct(item)).alias("_items"))
+    left = F.filter("_items", lambda x: ~F.coalesce(F.array_contains("_done", x), F.lit(False)))
+    return held.crossJoin(F.broadcast(every)).select(*keys, F.explode(left).alias("_item")).select(*keys, f"_item.{item}")
+
+
 def allowed(df: DataFrame, allow_list: DataFrame, key: str) -> DataFrame:
     return df.join(allow_list.select(key).distinct(), key, "left_semi")
 

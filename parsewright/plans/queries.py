@@ -429,8 +429,10 @@ SELECT doc_name, query_id, bool_and(there) AS ready, NOT bool_or(there AND all_b
 """)
 def dependency_applicability(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(_RULES, "query_id string, depends_on string, blocked string")
-    last = read_table(spark, d, "results").where("type = 'single_choice' and doc_name is not null and pred_indicator is not null").groupBy("doc_name", "query_id").agg(F.max_by("pred_indicator", "result_id").alias("values"))
-    return E.applicability(last, rules)
+    # of each trial's answers the last that isn't null, and null where all are
+    last = F.max_by("pred_indicator", F.when(F.col("pred_indicator").isNotNull(), F.col("result_id"))).alias("values")
+    answers = read_table(spark, d, "results").where("type = 'single_choice' and doc_name is not null").groupBy("trial_id", "doc_name", "query_id").agg(last)
+    return E.applicability(answers, rules, ("trial_id", "doc_name"))
 
 
 @_query("""
@@ -462,8 +464,9 @@ def trial_keys(spark: SparkSession, d: str) -> DataFrame:
 SELECT w.doc_name, q.query_id FROM outcomes w, queries q WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.trial_id = 1 AND r.doc_name = w.doc_name AND r.query_id = q.query_id)
 """)
 def resume_not_done(spark: SparkSession, d: str) -> DataFrame:
-    wanted = read_table(spark, d, "outcomes").select("doc_name").crossJoin(F.broadcast(read_table(spark, d, "queries").select("query_id")))  # questions are a fixed list
-    return S.not_done(wanted, read_table(spark, d, "results").where("trial_id = 1"), ("doc_name", "query_id"))
+    # trials, outcomes and questions are small beside the results; their product isn't, so questions are added after the join
+    wanted = F.broadcast(read_table(spark, d, "trials").select("trial_id")).crossJoin(read_table(spark, d, "outcomes").select("doc_name"))
+    return S.not_done_items(wanted, read_table(spark, d, "queries").select("query_id"), read_table(spark, d, "results"), ("trial_id", "doc_name"), "query_id")
 
 
 @_query("SELECT result_id FROM results WHERE trial_id IN (SELECT trial_id FROM trials WHERE mode = 'full')")

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 
+from parsewright.operators import trials as S
 from parsewright.plans import queries as Q
 
 TYPES = ("numeric", "open_ended", "single_choice", "multiple_choice", "list")
@@ -77,3 +78,34 @@ def test_inference_reads_the_documents(spark, tmp_path):
     rows = Q.binary_decomposition(spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.doc_name, r.parser, r.query_id): r.raw_output for r in rows} == want
     assert len({want[*k, "1.1"] for k in newest}) > 1
+
+
+def test_resume_in_every_trial(spark, tmp_path):
+    done = [(1, "a", "1.1"), (1, "a", "1.1"), (1, "b", "1.2"), (2, "a", "1.2"), (2, "z", "1.1"), (9, "a", "1.1"), (3, "a", None), (None, "a", "1.1"), (3, "b", "1.1"), (3, "b", "1.2")]
+    write(spark, tmp_path, "results", done, "trial_id int, doc_name string, query_id string")
+    write(spark, tmp_path, "trials", [(1,), (2,), (3,), (4,)], "trial_id int")
+    write(spark, tmp_path, "outcomes", [("a",), ("b",)], "doc_name string")
+    write(spark, tmp_path, "queries", [("1.1",), ("1.2",)], "query_id string")
+    rows = [tuple(r) for r in Q.resume_not_done(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted((t, n, q) for t in (1, 2, 3, 4) for n in "ab" for q in ("1.1", "1.2") if (t, n, q) not in done)
+    nulls = spark.createDataFrame([(1, None), (2, None)], "k int, d string")
+    items = spark.createDataFrame([(None,), ("x",)], "q string")
+    answered = spark.createDataFrame([(1, None, None), (2, None, "x")], "k int, d string, q string")
+    assert {tuple(r) for r in S.not_done_items(nulls, items, answered, ("k", "d"), "q").collect()} == {(1, None, "x"), (2, None, None)}
+
+
+def test_applicability_within_each_trial(spark, tmp_path):
+    rows = [
+        (1, 1, "a", "4.1", ["3"]), (2, 1, "a", "4.1", ["1"]),
+        (3, 2, "a", "4.1", ["1"]), (4, 2, "a", "4.1", ["3"]), (5, 2, "a", "4.1", None),
+        (6, 3, "a", "4.1", None), (7, 3, "a", "2.6", ["2"]), (8, 3, "a", "1.3", ["2"]), (9, 4, "b", "5.3", ["x"]), (10, 5, None, "4.1", ["3"]),
+    ]
+    write(spark, tmp_path, "results", [(*r, "single_choice") for r in rows], "result_id long, trial_id int, doc_name string, query_id string, pred_indicator array<string>, type string")
+    got = {(r.trial_id, r.doc_name, r.query_id): (r.ready, r.applicable) for r in Q.dependency_applicability(spark, str(tmp_path)).collect()}
+    held = {(1, "a"): {"4.1": ["1"]}, (2, "a"): {"4.1": ["3"]}, (3, "a"): {"4.1": [], "2.6": ["2"], "1.3": ["2"]}, (4, "b"): {"5.3": ["x"]}}
+    want = {}
+    for key, answers in held.items():
+        for q in {r[0] for r in Q._RULES}:
+            rules = [(on, blocked) for x, on, blocked in Q._RULES if x == q]
+            want[*key, q] = (all(on in answers for on, _ in rules), not any(on in answers and all(v == blocked for v in answers[on]) for on, blocked in rules))
+    assert got == want
