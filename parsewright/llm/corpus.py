@@ -15,32 +15,33 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 FLUSH = 200_000
 
 
-def count_words(df: DataFrame, text_col: str, skip_line_ends: bool = True) -> DataFrame:
-    """``word`` (lower case) and ``n`` over all texts, counted in each task before the shuffle.
+def count_words(df: DataFrame, text_col: str) -> DataFrame:
+    """``word`` (lower case), ``n`` and ``n_inside`` over all texts, counted in each task before the shuffle.
 
-    A text's last word is left out, as it may be cut off; with ``skip_line_ends`` so are the words at
-    either side of a line break, as they may be parts of one.
+    ``n`` leaves out a text's last word, as it may be cut off; ``n_inside`` also the first and last of each line, as
+    they may be parts of one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        inside: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             words = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (counts, inside))], names=["word", "n", "n_inside"])
             counts.clear()
+            inside.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if skip_line_ends:
-                    for line in text.lower().split("\n"):
-                        words = WORD.findall(line)
-                        counts.update(words[1:-1] if len(words) > 2 else ())
-                else:
-                    counts.update(WORD.findall(text.lower())[:-1])
+                lines = [found for line in text.lower().split("\n") if (found := WORD.findall(line))]
+                for k, words in enumerate(lines, 1):
+                    counts.update(words if k < len(lines) else words[:-1])
+                    inside.update(words[1:-1])
             if len(counts) > FLUSH:
                 yield out()
         yield out()
 
-    return df.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = df.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n bigint, n_inside bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"))

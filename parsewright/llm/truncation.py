@@ -27,6 +27,9 @@ MOST_SOURCES = 10_000
 #: Lengths around, on either side, that tell how many texts to expect.
 AROUND = 60
 
+#: A last word is a piece if the words that it begins are so many times as frequent as itself.
+LONGER = 50
+
 _OMISSION = re.compile(r"(?:\[\s*(?:\.\.\.|…|truncated|cut|snip|more|continued|cont\.?)[^\]]{0,40}\]|\((?:cont(?:inued|\.|['’]d)?|truncated|more|cut|abridged)[^)]{0,30}\)?|<\s*truncated\s*>|…|\.\.\.|(?:read|show|see) more\W*|\btruncated\b\W*|[\[<(](?:[a-z]+ ){0,4}(?:cut|cut off|limit|reached|exceeded|omitted|remainder|abridged|incomplete)(?: [a-z]+){0,3}[\]>)]|\(continued on [^)]*\)?|<!--[^>]*(?:-->)?)\s*$", re.I)
 _PAGE = re.compile(r"^\W*(?:(?:p|pp|page|seite|página|pág|s)\b\.?\s*)?(?:\d{1,4}|[ivxlc]{1,7})(?:\s*(?:of|/|von|de|sur)\s*\d{1,4})?[\s|*»\])–—-]*(?:\|?\s*p\s?a\s?g\s?e)?[\s|*»\])–—-]*$", re.I)
 _HEAD = re.compile(r"\(\d{4}\)\s*\d+\s*[–-]\s*\d+|\bet al\.?\s*(?:\d+)?$", re.I)
@@ -37,6 +40,8 @@ _SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]*_]*$")
 _CLOSERS = re.compile(r"(?:\s*</[A-Za-z][\w:.-]*>)+\s*$")
 _LISTED = re.compile(r"^\s*(?:[-*•–—▪◦+]\s|\(?\d{1,3}[.)]\s|\d+(?:\.\d+)+\s|#{1,6}\s)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# a sign of a formula, or a single letter as in "vitamin D"
+_SYMBOL = re.compile(r"(?:[=+*/^−<>]\s*[^\W\d_]|(?<!\S)[A-ZÀ-Ý])$")
 _OPEN = ("(", "[", "“", "„")
 
 
@@ -193,7 +198,7 @@ def _listing(filled: list[str], k: int) -> bool:
 
 def _last_word(text: str) -> str | None:
     found = _WORD.findall(text)
-    return found[-1].lower() if found else None
+    return found[-1].lower() if found and not _SYMBOL.search(text) else None
 
 
 def _unclosed(text: str) -> bool:
@@ -218,6 +223,16 @@ def _running(paragraph: str, last: str) -> bool:
     return len(own) >= 5 and function >= 0.2 and not re.search(r"\b(?:19|20)\d\d\b.*\d+\s*[:;(]", paragraph) and last[-1:] not in ")]”" or len(own) >= 3 and tail[:1].isupper() and not last.startswith("#") and sum(w in _RUNNING for w in own) >= 2
 
 
+def _whole_words(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``word`` of those asked for that stand elsewhere as words of their own: not only at line ends, where scans leave
+    pieces, beside far more longer words that begin with them."""
+    begun = counts.select("word", "n", "n_inside", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k")).select(F.substring("word", F.lit(1), F.col("k")).alias("begin"), "word", "n", "n_inside")
+    own = F.col("begin") == F.col("c.word")
+    sums = asked.alias("a").join(begun.alias("c"), F.col("a.word") == F.col("c.begin")).groupBy("a.word")
+    known = sums.agg(F.sum(F.when(own, F.col("n"))).alias("n"), F.sum(F.when(own, F.col("n_inside")).otherwise(0)).alias("whole"), F.sum(F.when(~own, F.col("n_inside")).otherwise(0)).alias("longer"))
+    return known.where((F.col("n") >= 2) & (F.col("longer") <= LONGER * F.greatest("whole", F.lit(1)))).select("word")
+
+
 def find_truncated(df: DataFrame, id_col: str = "parse_id", content_col: str = "content", source_col: str = "parser") -> DataFrame:
     """``id_col``, ``source`` and ``reason`` of each row whose text was cut off; equal rows come out each.
 
@@ -248,9 +263,8 @@ def find_truncated(df: DataFrame, id_col: str = "parse_id", content_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(states, pa.string()), pa.array(details, pa.string())], names=["id", "source", "state", "detail"])
 
     ends = cut_lineage(joined.mapInArrow(run, f"id {kind}, source string, state string, detail string").where("state <> 'complete'"))  # few and small
-    words = count_words(df, content_col, skip_line_ends=False)
     open_words = ends.where("state = 'open' and detail is not null").select(F.col("detail").alias("word")).distinct()
-    unknown = open_words.join(words.where("n >= 2"), "word", "left_anti").select("word", F.lit("word").alias("reason"))
+    unknown = open_words.join(_whole_words(count_words(df, content_col), open_words), "word", "left_anti").select("word", F.lit("word").alias("reason"))
     judged = ends.join(unknown, (F.col("state") == "open") & (F.col("detail") == F.col("word")), "left")
     return judged.where((F.col("state") == "cut") | F.col("reason").isNotNull()).select(F.col("id").alias(id_col), "source", F.coalesce("reason", "detail").alias("reason"))
 
