@@ -58,6 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a filtered scan, over all cores if its files have fewer splits than those: for maps that cost far more than
+    the shuffle of so small an input. Larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable for Python workers that have no path to it; once a session."""
     import os
