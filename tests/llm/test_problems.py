@@ -175,10 +175,18 @@ def test_unwrap(raw, state, text):
     assert pairs.unwrap(raw) == (state, text)
 
 
-def test_refusals_and_copies():
-    assert pairs.is_refusal("Sorry, I cannot code this item for legal reasons.") and pairs.is_refusal("As a language model, I cannot read the document.")
-    for sound in ("The authors write that they cannot rule out confounding; nurses", "Two participants declined to answer; nurses", "This cannot be determined from the excerpt.", "Sorry to say, the sample is small: nurses"):
-        assert not pairs.is_refusal(sound)
+def test_refusals_are_learned():
+    few = [f"{a} {b}" for a in ("Sorry, I cannot", "I am unable to", "I will not", "As an AI, I can't") for b in ("code this item.", "read the document.", "answer for legal reasons.", "process this request.")]
+    assert all(map(pairs.looks_refused, few)) and not pairs.looks_refused("Answering this would breach my guidelines.")
+    model = pairs.Refusals(few, SENTENCES)
+    declined = ("Sorry, I cannot code this item for legal reasons.", "As a language model, I cannot read the document.", "I'd rather not code this item.", "Answering this would breach my guidelines.", "My policy prohibits coding such content.", "I can't answer this question. " + "I am not able to read such an excerpt and my guidelines do not allow me to judge it. " * 8)
+    for text in declined:
+        assert model.refused(text), text
+    for sound in ("The authors write that they cannot rule out confounding; nurses", "Two participants declined to answer; nurses", "This cannot be determined from the excerpt.", "Sorry to say, the sample is small: nurses", "I dati mancanti sono stati sostituiti prima di ogni analisi.", "nurses"):
+        assert not model.refused(sound), sound
+
+
+def test_copies():
     q = pairs.Question("Population", QUESTION, [f"Read the excerpt.\nTarget Variable: Population\nDescription: {QUESTION}\nAnswer:"])
     for copy in (QUESTION.upper(), "Which  population was studied, and how was it", "Which was studied, and how was it recruited?", f"Population: {QUESTION}", f"Target Variable: Population\nDescription: {QUESTION}"):
         assert q.copied(copy), copy
@@ -186,20 +194,48 @@ def test_refusals_and_copies():
         assert not q.copied(sound), sound
 
 
-def test_defects_in_a_table(spark):
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_defects_in_a_table(spark, monkeypatch, most):
     good = [f"The sample consisted of {n} nurses who were recruited at the hospital." for n in range(60)] + ["nurses on rotating shifts"] * 12 + ["the learning rate, the penalty term"] * 12 + ["We asked nurses on rotating shifts who were there.", "the penalty term, the learning rate."] * 3
     spanish = ["La muestra incluyó a los enfermeros que se reclutaron en el hospital de la ciudad."] * 10 + ["Los participantes fueron reclutados por los autores en la ciudad."] * 10
-    bad = {900: (None, "empty"), 901: ("The sample consisted of 7 nur", "truncated"), 902: ("I'm sorry, but I can't answer this question.", "refusal"), 903: (QUESTION, "copy"), 904: (spanish[0], "language"), 905: ("文中没有提到。", "language"), 906: ("The scale (“Fragebogen zum Alltag”) was used by the nurses.", None), 907: ("Z", None), 908: ("the learning rate, the penal", "truncated")}
+    bad = {900: (None, "empty"), 901: ("The sample consisted of 7 nur", "truncated"), 902: ("I'm sorry, but I can't answer this question.", "refusal"), 903: (QUESTION, "copy"), 904: (spanish[0], "language"), 905: ("文中没有提到。", "language"), 906: ("The scale (“Fragebogen zum Alltag”) was used by the nurses.", None), 907: ("Z", None), 908: ("the learning rate, the penal", "truncated"), 909: ("<think>a</think>" * 20 + "nurses on rotating shifts", None), 910: ("I cannot answer this question, as I am not able to read it. " * 12, "refusal")}
     rows = [(i, "1.1", t) for i, t in enumerate(good + spanish)] + [(i, "1.1", t) for i, (t, _) in bad.items()] + [(950, None, "nurses on rotating shifts"), (951, "?", QUESTION)]
     results = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "result_id long, query_id string, raw_output string, defect string, ends double")
-    questions = spark.createDataFrame([("1.1", "Population", QUESTION, "", "", {"base_prompt": f"Answer. {QUESTION}"})], "query_id string, label string, description string, description_detailed string, instructions string, prompts struct<base_prompt:string>")
+    questions = spark.createDataFrame([("1.1", "Population", QUESTION, "", "", {"base_prompt": f"Answer. {QUESTION}"}), ("1.2", "Other", "What else?", None, None, None)], "query_id string, label string, description string, description_detailed string, instructions string, prompts struct<base_prompt:string>")
     common = spark.createDataFrame(COMMON, "lang string, word string")
+    monkeypatch.setattr(pairs, "MOST_QUESTIONS", most)
     got = {r.result_id: r.defect for r in pairs.find_defects(results, questions, common).collect()}
     assert {i: got.get(i) for i in bad} == {i: d for i, (_, d) in bad.items()}
     assert not set(got) & set(range(len(good))) and all(got.get(len(good) + i) == "language" for i in range(len(spanish))) and 950 not in got and 951 not in got
     assert pairs.find_defects(results.limit(0), questions, common).count() == 0
 
 
+def test_ends_are_counted_as_by_hand(spark):
+    texts = ["the penalty term", "The penalty term.", "penalty, rate, term", "a (penalty) b", "ab", "é語", ""]
+    size, key, no, goes_on, ends, last = pairs.end_keys(texts)
+    expected = Counter()
+    for k, t in enumerate(texts):
+        flat = "^" + t.lower()
+        for i in range(1, len(flat)):
+            if flat[i].isalnum():
+                after = flat[i + 1 : i + 2]
+                end = after in ("", ".", ")") or after == "," and k == 2
+                for n in pairs.ENDING_NGRAMS:
+                    if i + 1 >= n:
+                        expected[k, n, end, not end and after not in "(,"] += 1
+    assert Counter(zip(no.tolist(), size.tolist(), ends.tolist(), goes_on.tolist())) == expected
+    apart = {(t[i - n : i].lower(), n) for t in ("^" + x for x in texts) for i in range(2, len(t) + 1) if t[i - 1].isalnum() for n in pairs.ENDING_NGRAMS if i >= n}
+    assert len(set(key.tolist())) == len(apart) and last.sum() == sum(min(len(pairs.ENDING_NGRAMS), sum(n <= 1 + max(i for i, c in enumerate("^" + t) if c.isalnum()) for n in pairs.ENDING_NGRAMS)) for t in texts if t)
+
+
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_a_full_filter_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(pairs, "FILTER_BITS", bits)
+    rows = [(f"the learning rate and the penalty term {k}", 1, False) for k in range(40)] + [("the learning ra", 2, False), ("the learning rate and the penalty", 900, False), ("xylophon", 1, False)]
+    answers = spark.createDataFrame(rows, "text string, n long, refused boolean")
+    assert {r.text for r in pairs.cut_endings(answers, answers.select("text").where("text not like '%term%'")).collect()} == {"the learning ra"}
+
+
 # --- 5: scans -------------------------------------------------------------------------------------------------
 
 
