@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parsewright.session import spread
+
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Distinct words that a task counts before it hands its counts on.
 FLUSH = 200_000
@@ -43,5 +45,5 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
                 yield out()
         yield out()
 
-    counted = df.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "word string, n bigint, n_inside bigint")
+    counted = spread(df.where(F.col(text_col).isNotNull()).select(text_col)).mapInArrow(run, "word string, n bigint, n_inside bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"))

@@ -2,9 +2,10 @@
 
 Lengths are computed anew as they were before storage: in several encodings, with entities or JSON
 escapes, with other line ends. Where many of a parser's texts have one and the same length in one of
-these measures, a hidden limit shows. Then the endings are inspected: markup left open, a table row, a
-sentence, a word that stops; what stands after the cut (a mark of omission, a page number, a running
-header) is looked through.
+these measures, a hidden limit shows; each text speaks for one limit alone, that which explains most texts. Then the
+endings are inspected: markup left open, a table row, a sentence, a word that stops; what stands after the cut (a mark of
+omission, a page number, a running header) is looked through. Both together decide: at a limit, an ending that might be
+complete counts as cut off if whole texts of that length are rare enough.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from pyspark.sql import functions as F
 
 from parsewright.llm.corpus import count_words
 from parsewright.llm.quality import cells_of
-from parsewright.session import cut_lineage
+from parsewright.session import cut_lineage, spread
 
 #: A limit shows if the texts of that length exceed what the lengths around lead to expect by so many deviations and texts.
 DEVIATIONS, LEAST_EXCESS = 6.0, 4
-#: Sources with limits up to which the limits are broadcast.
-MOST_SOURCES = 10_000
 #: Lengths around, on either side, that tell how many texts to expect.
 AROUND = 60
 
+#: How much rarer an end that looks complete is among texts cut off than among whole ones.
+COMPLETE_ENDS = 0.05 / 0.95
+
 #: A last word is a piece if the words that it begins are so many times as frequent as itself.
 LONGER = 50
 
@@ -42,42 +44,79 @@ _LISTED = re.compile(r"^\s*(?:[-*•–—▪◦+]\s|\(?\d{1,3}[.)]\s|\d+(?:\.\d
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 # a sign of a formula, or a single letter as in "vitamin D"
 _SYMBOL = re.compile(r"(?:[=+*/^−<>]\s*[^\W\d_]|(?<!\S)[A-ZÀ-Ý])$")
-_OPEN = ("(", "[", "“", "„")
-
-
-def measures(content: Column) -> dict[str, Column]:
-    """Lengths that a field may have been limited by."""
-    count = lambda c: F.length(content) - F.length(F.replace(content, F.lit(c), F.lit("")))
-    chars, octets = F.length(content), F.octet_length(content)
-    crlf = F.length(content) - F.length(F.replace(content, F.lit("\r\n"), F.lit("\n")))
-    lf = count("\n")
-    amp, lt, gt, quot, backslash, tab = (count(c) for c in ("&", "<", ">", '"', "\\", "\t"))
-    entities = amp * 4 + (lt + gt) * 3
-    utf16 = chars + F.length(F.regexp_replace(content, "[^\\x{10000}-\\x{10FFFF}]", ""))
-    json = quot + backslash + lf + tab + count("\r")
-    return {
-        "characters": chars, "utf8": octets, "utf16": utf16,
-        "entities": chars + entities, "entities_quot": chars + entities + quot * 5, "entities_utf8": octets + entities,
-        "json": chars + json, "json_utf8": octets + json, "crlf": chars + lf - crlf, "crlf_utf8": octets + lf - crlf, "lf": chars - crlf, "lf_utf8": octets - crlf,
-    }
+_ITEM = re.compile(r"\s*\S{1,24}(?:\s\S{1,24}){0,3}\s*([=:])\s+\S")
+_TAG_OR_ENTITY = re.compile(r"</?[A-Za-z][\w:.-]*[^<>]*>|&\w+;")
+_SIGNS = re.compile(r"[^\w\s.|\-–,;:()\[\]&]|_")
+_STRANGE = re.compile("[\ufffd\x00-\x08\x0e-\x1f]")
+_VOWEL = re.compile("[aeiouyàáâäåèéêëìíîïòóôöùúûü]", re.I)
+_BEFORE_ROOT = re.compile(r"\s*(?:<[?!][^>]*>\s*)*")
+_ROOT = re.compile(r"<([A-Za-z][\w:.-]*)(?=[\s>])")
+_OPEN_TAG = re.compile(r"<[A-Za-z/][^<>]*$")
+_OPEN_MARK = re.compile(r"<[A-Za-z/][^<>\n]*$|</?$|&[a-z]{1,5}$|&#\d*$")
+_ANY_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+_ENVIRONMENTS = (("<table", "</table>"), ("\\begin{tabular}", "\\end{tabular}"), ("<row", "</row>"), ("<cell", "</cell>"), ("<list", "</list>"), ("<item", "</item>"))
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: An end is read over so many characters at least, in whole paragraphs.
+READ_AT_LEAST = 500
+
+
+MEASURES = ("characters", "utf8", "utf16", "entities", "entities_quot", "entities_utf8", "json", "json_utf8", "crlf", "crlf_utf8", "lf", "lf_utf8")
+
+
+def measures(text: str) -> list[int]:
+    """Lengths that a field may have been limited by, in the order of MEASURES."""
+    chars, octets = len(text), len(text.encode("utf-8", "surrogatepass"))
+    utf16 = chars if octets == chars else len(text.encode("utf-16-le", "surrogatepass")) // 2
+    count = text.count
+    crlf, lf = count("\r\n"), count("\n")
+    quot = count('"')
+    entities = count("&") * 4 + (count("<") + count(">")) * 3
+    json = quot + count("\\") + lf + count("\t") + count("\r")
+    return [chars, octets, utf16, chars + entities, chars + entities + quot * 5, octets + entities, chars + json, octets + json, chars + lf - crlf, octets + lf - crlf, chars - crlf, octets - crlf]
+
+
+def inspect(df: DataFrame, id_col: str, source_col: str, content_col: str) -> DataFrame:
+    """``id``, ``source``, ``hash``, ``state`` and ``detail`` of the ending, ``sizes`` by MEASURES; one row per row with text."""
+    kind = df.schema[id_col].dataType.simpleString()
+    content = F.col(content_col)
+    known = df.where(content.rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(content).alias("hash"), content.alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("content").to_pylist()
+            states = [ending(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "source", "hash")] + [pa.array([s for s, _ in states], pa.string()), pa.array([d for _, d in states], pa.string()), pa.array([measures(t) for t in texts], pa.list_(pa.int32()))], names=["id", "source", "hash", "state", "detail", "sizes"])
+
+    return spread(known).mapInArrow(run, f"id {kind}, source string, hash bigint, state string, detail string, sizes array<int>")
+
+
+def _limits(ends: DataFrame) -> DataFrame:
+    """``source``, ``measure``, ``size``, ``n``, ``expected`` of each limit that the rows of ``inspect`` show."""
+    texts = ends.groupBy("source", "hash").agg(F.first("sizes").alias("sizes"))
+    each = texts.select("source", "hash", F.posexplode("sizes").alias("at", "size"))
+    sizes = each.groupBy("source", "at", "size").agg(F.count("*").alias("n"))
+    around = Window.partitionBy("source", "at").orderBy("size").rangeBetween(-AROUND, AROUND)
+    judged = sizes.withColumn("expected", (F.sum("n").over(around) - F.col("n")) / (2.0 * AROUND))
+    rare = lambda n: (n >= F.col("expected") + DEVIATIONS * F.sqrt("expected") + LEAST_EXCESS) & (n >= 5 * F.col("expected"))
+    possible = judged.where(rare(F.col("n"))).withColumnRenamed("n", "all_n")
+    same = F.col("e.source").eqNullSafe(F.col("l.source")) & (F.col("e.at") == F.col("l.at")) & (F.col("e.size") == F.col("l.size"))
+    # a text speaks for the limit that explains most texts, of such for the plainest measure; what is left of the others is judged again
+    best = each.alias("e").join(possible.alias("l"), same).groupBy("e.source", "e.hash").agg(F.max(F.struct("l.all_n", (-F.col("l.at")).alias("minus_at"), "l.size", "l.expected")).alias("b"))
+    kept = best.groupBy("source", (-F.col("b.minus_at")).alias("at"), F.col("b.size").alias("size")).agg(F.count("*").alias("n"), F.first("b.expected").alias("expected")).where(rare(F.col("n")))
+    return kept.select("source", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("at").cast("int") + 1).alias("measure"), "size", "n", "expected")
 
 
 def length_limits(df: DataFrame, source_col: str = "parser", content_col: str = "content") -> DataFrame:
     """``source``, ``measure``, ``size``, ``n``, ``expected`` of each hidden limit.
 
-    Equal texts count once. Expected is the mean count of the lengths around. A source and measure with
+    Equal texts count once, and each for one limit. Expected is the mean count of the lengths around. A source and measure with
     few texts shows no limit.
     """
-    content = F.col(content_col)
-    texts = df.where(content.rlike(r"(?U)\S")).groupBy(F.col(source_col).alias("source"), F.xxhash64(content).alias("hash")).agg(F.first(F.array(*(F.struct(F.lit(k).alias("measure"), v.cast("int").alias("size")) for k, v in measures(content).items()))).alias("m"))
-    sizes = texts.select("source", F.explode("m").alias("m")).groupBy("source", "m.measure", "m.size").agg(F.count("*").alias("n"))
-    around = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-AROUND, AROUND)
-    judged = sizes.withColumn("expected", (F.sum("n").over(around) - F.col("n")) / (2.0 * AROUND))
-    return judged.where(F.col("n") >= F.col("expected") + DEVIATIONS * F.sqrt("expected") + LEAST_EXCESS).where(F.col("n") >= 5 * F.col("expected"))
+    return _limits(cut_lineage(inspect(df.withColumn("_no", F.lit(0)), "_no", source_col, content_col)))
 
 
 def _plain(line: str) -> str:
-    return re.sub(r"[\W\d_]+", " ", line.lower()).strip()
+    return _NOT_LETTERS.sub(" ", line.lower()).strip()
 
 
 def ending(content: str) -> tuple[str, str | None]:
@@ -85,23 +124,22 @@ def ending(content: str) -> tuple[str, str | None]:
     text = content.rstrip()
     if not text or unreadable(text):
         return "complete", None
-    head = text[:400].lstrip()
-    low = text.lower()
-    if head.startswith("<?xml") or head.lower().startswith(("<tei", "<html", "<article", "<!doctype")):
-        root = re.search(r"<([A-Za-z][\w:.-]*)(?=[\s>])", re.sub(r"<[?!][^>]*>", "", head))
-        if root and not re.search(rf"</{re.escape(root.group(1))}>\s*$", text):
+    head = _BEFORE_ROOT.match(text)
+    root = _ROOT.match(text, head.end())
+    if root and (head.end() and text.lstrip().startswith("<?xml") or root.group(1).lower() in ("tei", "html", "article") or text.lstrip()[:9].lower() == "<!doctype"):
+        if not re.search(rf"</{re.escape(root.group(1))}>\Z", text):
             return "cut", "markup"
-    elif re.match(r"<[A-Za-z][\w:.-]*[ >]", head) and re.search(r"<[A-Za-z/][^<>]*$", text):
+    elif root and _OPEN_TAG.search(text, max(text.rfind("<"), 0)):
         return "cut", "markup"
-    for opening, closing in (("<table", "</table>"), ("\\begin{tabular}", "\\end{tabular}"), ("<row", "</row>"), ("<cell", "</cell>"), ("<list", "</list>"), ("<item", "</item>")):
-        if low.count(opening) > low.count(closing) and low.rfind(opening) > len(low) - 20_000:
-            return "cut", "markup"
-    if re.search(r"<[A-Za-z/][^<>\n]{0,60}$|</?$|&[a-z]{1,5}$|&#\d*$", text):
+    low = text.lower()
+    if any(opening in low and low.count(opening) > low.count(closing) for opening, closing in _ENVIRONMENTS):
+        return "cut", "markup"
+    if _OPEN_MARK.search(text, max(0, text.rfind("<"), text.rfind("&"))) and (text.rfind("<") >= 0 or text.rfind("&") >= 0):
         return "cut", "markup"
     marked = False
     closed = _CLOSERS.sub("", text)
     in_markup = closed != text
-    text = re.sub(r"<[A-Za-z/!?][^<>]{0,300}>", "\n", closed) if in_markup else text
+    text = _ANY_TAG.sub("\n", closed) if in_markup else text
     text = text.rstrip()
     m = _OMISSION.search(text)
     while m and m.start() > 0:
@@ -143,7 +181,7 @@ def ending(content: str) -> tuple[str, str | None]:
     cells = cells_of(last)
     if len(cells) >= 3 or len(words) <= 1 and re.search(r"\d", last):
         return ("cut", "row") if _unclosed(last) or re.search(r"[.,(\[]$", last) else ("open", _last_word(last)) if re.search(r"[^\W\d_]$", last) else ("complete", None)
-    if _running(paragraph, last) and not _listing(filled, k):
+    if not _is_item(filled, k) and _running(paragraph, last) and not _listing(filled, k):
         return "cut", "sentence"
     if _unclosed(last):
         return "cut", "bracket"
@@ -151,17 +189,24 @@ def ending(content: str) -> tuple[str, str | None]:
 
 
 def unreadable(text: str) -> bool:
-    """Whether the end of a text is nothing that one could read: where that stops, nothing is cut off."""
-    tail = re.sub(r"</?[A-Za-z][\w:.-]*[^<>]{0,100}>|&\w+;", " ", text[-900:])[-500:]
-    solid = [c for c in tail if not c.isspace()]
-    if len(solid) < 80:
+    """Whether the end of a text, its last paragraphs, is nothing that one could read: where that stops, nothing is cut off."""
+    at = len(text)
+    while at > 0 and len(text) - at < READ_AT_LEAST:
+        at = max(0, text.rfind("\n\n", 0, at))
+    return is_garbled(text[at:])
+
+
+def is_garbled(text: str) -> bool:
+    """Whether a stretch of text, tags aside, is signs, broken characters, or words without vowels."""
+    bare = _TAG_OR_ENTITY.sub(" ", text) if "<" in text or "&" in text else text
+    parts = bare.split()
+    n = sum(map(len, parts))
+    if n < 80:
         return False
-    n = len(solid)
-    words = _WORD.findall(tail)
-    odd = sum(not re.search("[aeiouyàáâäåèéêëìíîïòóôöùúûü]", w.lower()) and len(w) > 1 for w in words)
-    strange = sum(c == "\ufffd" or ord(c) < 32 for c in solid)
-    signs = sum(not c.isalnum() and c not in ".|-–,;:()[]&" for c in solid)
-    return strange > 0.15 * n or signs > 0.4 * n or odd > 0.4 * max(8, len(words)) or sum(len(t) for t in tail.split() if len(t) > 40) > 0.5 * n
+    if len(_STRANGE.findall(bare)) > 0.15 * n or len(_SIGNS.findall(bare)) > 0.4 * n or sum(len(t) for t in parts if len(t) > 40) > 0.5 * n:
+        return True
+    words = _WORD.findall(bare)
+    return sum(len(w) > 1 and not _VOWEL.search(w) for w in words) > 0.4 * max(8, len(words))
 
 
 def _furniture(line: str, plain: list[str], k: int, title: str) -> bool:
@@ -181,11 +226,17 @@ def _paragraph(filled: list[str], lines: list[str], k: int) -> str:
         if seen == k:
             break
     first = at
-    while first > 0 and lines[first - 1].strip() and at - first < 30:
+    while first > 0 and lines[first - 1].strip():
         first -= 1
     return " ".join(x.strip() for x in lines[first : at + 1])
 
 
+def _is_item(filled: list[str], k: int) -> bool:
+    """Whether the last line gives a name and what it stands for, as most of the lines before it do."""
+    own = _ITEM.match(filled[k])
+    return bool(own) and sum(bool((m := _ITEM.match(x)) and m.group(1) == own.group(1)) for x in filled[max(0, k - 3) : k]) >= min(2, k)
+
+
 def _listing(filled: list[str], k: int) -> bool:
     """Whether the last lines are items of a list: short, of uneven length, without the marks of sentences."""
     near = [x.strip() for x in filled[max(0, k - 4) : k]]
@@ -240,33 +291,26 @@ def find_truncated(df: DataFrame, id_col: str = "parse_id", content_col: str = "
     ``bracket``. Null, empty and blank texts are no case; a null source counts as a source of its own.
     Other columns play no part.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    content = F.col(content_col)
-    known = df.where(content.rlike(r"(?U)\S")).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), content.alias("content"))
-    limits = cut_lineage(length_limits(df, source_col, content_col).groupBy("source").agg(F.collect_list(F.struct("measure", "size")).alias("limits")))
-    # a few numbers a source: with sources in reason the texts stay where they are; otherwise Spark joins as it sees fit
-    if limits.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
-        limits = F.broadcast(limits)
-    size = measures(F.col("k.content"))
-    of = F.create_map(*(x for m, c in size.items() for x in (F.lit(m), c.cast("int"))))
-    at_limit = F.coalesce(F.exists("l.limits", lambda x: of[x["measure"]] == x["size"]), F.lit(False))
-    joined = known.alias("k").join(limits.alias("l"), F.col("k.source").eqNullSafe(F.col("l.source")), "left").select("k.id", "k.source", "k.content", at_limit.alias("at_limit"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states, details = [], []
-            for text, at in zip(batch.column("content").to_pylist(), batch.column("at_limit").to_pylist()):
-                state, detail = ending(text)
-                at = at and not unreadable(text)
-                states.append("cut" if at else state)
-                details.append(detail if state == "cut" or not at else "limit")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(states, pa.string()), pa.array(details, pa.string())], names=["id", "source", "state", "detail"])
-
-    ends = cut_lineage(joined.mapInArrow(run, f"id {kind}, source string, state string, detail string").where("state <> 'complete'"))  # few and small
-    open_words = ends.where("state = 'open' and detail is not null").select(F.col("detail").alias("word")).distinct()
-    unknown = open_words.join(_whole_words(count_words(df, content_col), open_words), "word", "left_anti").select("word", F.lit("word").alias("reason"))
-    judged = ends.join(unknown, (F.col("state") == "open") & (F.col("detail") == F.col("word")), "left")
-    return judged.where((F.col("state") == "cut") | F.col("reason").isNotNull()).select(F.col("id").alias(id_col), "source", F.coalesce("reason", "detail").alias("reason"))
+    ends = cut_lineage(inspect(df, id_col, source_col, content_col))  # numbers alone, no texts
+    limits = _limits(ends).groupBy("source").agg(F.collect_list(F.struct("measure", "size", "n", "expected")).alias("limits"))
+    number = F.create_map(*(x for k, m in enumerate(MEASURES) for x in (F.lit(m), F.lit(k + 1))))
+
+    def reached(limit: Column) -> Column:
+        size = F.element_at("e.sizes", number[limit["measure"]])
+        # a character that a limit of bytes would part is left out as a whole
+        return (size <= limit["size"]) & (size >= limit["size"] - F.when(limit["measure"].like("%utf8"), 3).otherwise(0))
+
+    odds = lambda x: (x["n"] - x["expected"]) / F.greatest(x["expected"], F.lit(1.0 / (2 * AROUND)))
+    at = F.filter("l.limits", reached)
+    joined = ends.alias("e").join(limits.alias("l"), F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.id", "e.source", "e.state", "e.detail", F.coalesce(F.size(at) > 0, F.lit(False)).alias("at_limit"), F.coalesce(F.array_max(F.transform(at, odds)), F.lit(0.0)).alias("odds"))
+    sure = joined.where((F.col("state") == "cut") | F.col("at_limit") & ((F.col("state") == "open") | (F.col("odds") * COMPLETE_ENDS > 1)))
+    reason = F.when(F.col("state") == "cut", F.col("detail")).otherwise("limit")
+    opened = joined.where("state = 'open' and detail is not null and not at_limit")
+    # only these are judged by their last words, which are few and short
+    words = opened.select(F.col("detail").alias("word")).distinct()
+    unknown = words.join(_whole_words(count_words(df, content_col), words), "word", "left_anti")
+    pieces = opened.join(unknown, F.col("detail") == F.col("word"), "left_semi")
+    return sure.select("id", "source", reason.alias("reason")).unionByName(pieces.select("id", "source", F.lit("word").alias("reason"))).withColumnRenamed("id", id_col)
 
 
 def truncation_rates(df: DataFrame, id_col: str = "parse_id", content_col: str = "content", source_col: str = "parser") -> DataFrame:

@@ -104,6 +104,38 @@ def test_endings(content, state):
     assert truncation.ending(content)[0] == state
 
 
+def test_nothing_is_too_far_back_to_be_seen():
+    long_table = "<table>" + "<tr><td>a</td></tr>\n" * 3000
+    assert truncation.ending(long_table) == ("cut", "markup") and truncation.ending("<!-- " + "x" * 900 + " -->\n<article><p>" + prose(2)) == ("cut", "markup")
+    assert not truncation.unreadable(prose(8) + "\n\n" + prose(2)) and truncation.unreadable(prose(8) + "\n\n" + "x#!q " * 300)
+    items = "\n".join(f"AB{i} = the area under the curve" for i in range(6))
+    assert truncation.ending(items)[0] == "open" and truncation.ending(prose(2) + "\n\nIt was said that the mean = the area under the cur")[0] == "cut"
+
+
+def test_measures_equal_the_encoded_lengths():
+    import html
+    import json
+
+    for text in ("", "a & b < c > \"d\"\n\t\\ é 語 🙂\r\ne\n", prose(2)):
+        lf, crlf = text.replace("\r\n", "\n"), text.replace("\r\n", "\n").replace("\n", "\r\n")
+        size = lambda t: len(t.encode())
+        dumped = json.dumps(text, ensure_ascii=False)[1:-1]
+        assert truncation.measures(text) == [len(text), size(text), len(text.encode("utf-16-le")) // 2, len(html.escape(text, quote=False)), len(text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace(chr(34), "&quot;")), size(html.escape(text, quote=False)), len(dumped), size(dumped), len(crlf), size(crlf), len(lf), size(lf)]
+
+
+def test_limits_weigh_in_the_verdict(spark):
+    texts = [prose(25, i) for i in range(60)]
+    cut = [t[:800] for t in texts[:30]]
+    heads = [prose(9, 100 + i) for i in range(2)]
+    whole = [(h + " " + "It was so for all of them in the end and for the rest of it as well in every one of them, year by year by year by year.")[:799].rstrip(". ") for h in heads]
+    complete = [w + "." * (800 - len(w)) for w in whole]
+    rows = [(i, "A", None, t, None, "", "") for i, t in enumerate(cut)] + [(100 + i, "A", None, t, None, "", "") for i, t in enumerate(complete)] + [(200 + i, "B", None, t, None, "", "") for i, t in enumerate(complete)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert [(r.source, r.measure, r["size"]) for r in truncation.length_limits(df).collect()] == [("A", "characters", 800)]
+    found = {r.parse_id: r.reason for r in truncation.find_truncated(df).collect()}
+    assert {i for i in found if i < 100} == set(range(30)) and found[100] == found[101] == "limit" and not {200, 201} & set(found)
+
+
 def test_limits_and_found(spark):
     full = [prose(20, i) for i in range(40)]
     rows = [(i, "A", None, t[:600], None, "x", "y") for i, t in enumerate(full)] + [(100 + i, "B", None, t[: 400 + 31 * i].rpartition(". ")[0] + ".", None, "x", "y") for i, t in enumerate(full)] + [(200, None, None, None, None, "", ""), (201, "A", None, "", None, "", ""), (202, "A", None, " ", None, "", ""), (203, None, None, prose(2), None, "", "")]
