@@ -8,23 +8,31 @@ word that is far more frequent.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import nsmallest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parsewright.llm.corpus import FLUSH
-from parsewright.llm.quality import cells_of
-from parsewright.llm.truncation import _RUNNING, unreadable
-from parsewright.session import cut_lineage
+from parsewright.llm.quality import cells_of, to_lines
+from parsewright.llm.truncation import _RUNNING, is_garbled
+from parsewright.session import cut_lineage, spread
 
 #: A word is misread if a confusion makes it a word this many times as frequent, that occurs so often at least.
 RATIO, LEAST_COUNT = 12, 6
+#: Characters of the longest line that can be a running header or footer.
+LONGEST_HEAD = 300
+#: Likeness from which two running lines are the same, and a line begins the title.
+SAME_LINE, SAME_TITLE = 0.88, 0.86
+#: Lines up to which each is compared with all; more are compared by an index, with the same result.
+FEW_LINES = 48
 #: Entries of the lookup table up to which it is broadcast to the workers; a larger one is joined.
 MOST_BROADCAST = 300_000
 
@@ -50,10 +58,66 @@ _NUMBER_ONLY = re.compile(r"^\s*[-–]?[\d.,%()<=\s]+$")
 _LISTED = re.compile(r"#|\||[-*•–]\s|\d+(?:\.\d+)*\.?\s+[A-ZÀ-Ý][a-zà-ÿ]+(?:\s[a-zà-ÿ]+){0,4}$")
 _TOKEN = re.compile(r"[^\W_](?:[^\s,;:?\"“”()\[\]<>/=.…–—]*[^\W_])?|[@|!$€(][^\W\d_][\w|@!$€]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_LEFT, _LEFT_PIECE = re.compile(r"[^\W\d_]\S*$"), re.compile(r"[^\W_][^\s(\[“\"]*$")
+_RIGHT_PIECE, _BULLET = re.compile(r"[^\W_][^\s,;:.?!)\]”\"]*"), re.compile(r"\s*[-*•–]\s")
 
 
 def _key(line: str) -> str:
-    return re.sub(r"[\W\d_]+", "", line.lower())
+    return "".join(filter(str.isalpha, line.lower()))
+
+
+def _grams(k: str) -> set[str]:
+    return {k[i : i + 3] for i in range(len(k) - 2)}
+
+
+def _alike(a: str, b: str, least: float) -> bool:
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= least
+
+
+class Repeats:
+    """Which of some lines, by their letters, stand there again, exactly or nearly so.
+
+    Letters that two lines don't share destroy three of their three-letter groups each at most, so alike lines share
+    groups among the rarest of either; only lines that do are compared. Nothing that is alike is missed, and the cost
+    grows with the lines, not with their pairs.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.counts = Counter(keys)
+        self.known: dict[str, bool] = {}
+        self.grams: dict[str, set[str]] = {}
+        self.rare: dict[str, list[str]] = {}
+        self.index: dict[tuple[str, int], list[str]] = {}
+
+    def _build(self) -> None:
+        self.grams = {k: _grams(k) for k in self.counts if len(k) >= 8}
+        if len(self.grams) <= FEW_LINES:
+            return
+        frequent = Counter(g for grams in self.grams.values() for g in grams)
+        for k, grams in self.grams.items():
+            self.rare[k] = nsmallest(_lost(k, SAME_LINE) + 1, grams, key=lambda g: (frequent[g], g))
+            for g in self.rare[k]:
+                self.index.setdefault((g, len(k)), []).append(k)
+
+    def repeated(self, k: str) -> bool:
+        """Whether ``k``, one of the lines, has another like it."""
+        if self.counts[k] > 1:
+            return True
+        if len(k) < 8:
+            return False
+        if k not in self.known:
+            if not self.grams:
+                self._build()
+            lengths = range(len(k) - 2, len(k) + 3)
+            others = {x for g in self.rare[k] for n in lengths for x in self.index.get((g, n), ())} if self.rare else (x for x in self.grams if len(x) in lengths)
+            least = len(self.grams[k]) - _lost(k, SAME_LINE)
+            self.known[k] = any(x != k and len(self.grams[k] & self.grams[x]) >= least and _alike(k, x, SAME_LINE) for x in others)
+        return self.known[k]
+
+
+def _lost(k: str, least: float) -> int:
+    """Three-letter groups that a line as like ``k`` as ``least`` may lack at most."""
+    return 3 * int((1 - least) * (len(k) + 1) + 1)
 
 
 def _roman(s: str) -> int:
@@ -61,14 +125,21 @@ def _roman(s: str) -> int:
     return sum(-v if any(w > v for w in values[i + 1 : i + 2]) else v for i, v in enumerate(values))
 
 
-def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
-    """Indexes of the lines that are page numbers, and of those that are running headers or footers."""
-    filled = [i for i, x in enumerate(lines) if x.strip()]
+def page_lines(lines: list[str], garbled: frozenset[int] = frozenset()) -> tuple[set[int], set[int]]:
+    """Indexes of the lines that are page numbers, and of those that are running headers or footers. Garbled lines are neither."""
+    filled = [i for i, x in enumerate(lines) if x.strip() and i not in garbled]
     if len(filled) < 2:
         return set(), set()
     place = {i: k for k, i in enumerate(filled)}
     first, last = filled[0], filled[-1]
-    feeds = {i for i in filled if "\f" in lines[i]} | {filled[place_k - 1] for i in range(len(lines)) if "\f" in lines[i] for place_k in [next((place[j] for j in filled if j >= i), len(filled))] if place_k > 0}
+    feeds: set[int] = set()
+    for i, x in enumerate(lines):
+        if "\f" in x:
+            k = bisect.bisect_left(filled, i)
+            if k < len(filled) and filled[k] == i:
+                feeds.add(i)
+            if k > 0:
+                feeds.add(filled[k - 1])
     found = []
     for i in filled:
         m = _PAGE.match(lines[i])
@@ -80,10 +151,14 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
         found.append((i, signature, _roman(num) if roman else int(num)))
     numeric = {i for i in filled if _NUMBER_ONLY.match(lines[i])}
     pages: set[int] = set()
-    for k, (i, signature, value) in enumerate(found):
-        same = [f for f in found if f[1] == signature]
-        at = same.index(found[k])
-        chained = at > 0 and same[at - 1][2] + 1 == value or at + 1 < len(same) and same[at + 1][2] - 1 == value
+    by_signature: dict[tuple, list[int]] = {}
+    for _, signature, value in found:
+        by_signature.setdefault(signature, []).append(value)
+    passed: Counter = Counter()
+    for i, signature, value in found:
+        same, at = by_signature[signature], passed[signature]
+        passed[signature] += 1
+        chained = at > 0 and same[at - 1] + 1 == value or at + 1 < len(same) and same[at + 1] - 1 == value
         edge = i in (first, last) or i in feeds
         strong = bool(re.search(r"p|s\.?$|[-–—]|seite", signature[0]) or "page" in signature[2] or signature[1])
         beside = [j for j in (place[i] - 1, place[i] + 1) if 0 <= j < len(filled)]
@@ -108,33 +183,36 @@ def page_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     names = {_key(w) for i in head[start + 1 : start + 4] if _author_line(lines[i]) for w in re.findall(r"[^\W\d_][\w'’-]+(?=\s*(?:,|;|&|$|\band\b))", lines[i])}
     running: set[int] = set()
     keys = {i: _key(lines[i]) for i in body}
+    breaks = pages | feeds
+    repeats = Repeats([keys[i] for i in near if i in keys])
+    title_grams = _grams(title)
     for i in body:
         line = lines[i].strip()
         k = keys[i]
-        if len(line) > 100 or not k or i in title_lines[:1] and not _heading_like(line) or _LISTED.match(line):
+        if len(line) > LONGEST_HEAD or not k or i in title_lines[:1] and not _heading_like(line) or _LISTED.match(line):
             continue
         numbered = bool(_NUMBERED.search(line))
-        if len(line) <= 90 and _JOURNAL.search(line) and (i in near or _repeated(i, keys, near)) and not re.search(r"\.\s+[A-Z][a-z]+ [a-z]", line):
+        if len(line) <= 90 and _JOURNAL.search(line) and (i in near or k in repeats.counts) and not re.search(r"\.\s+[A-Z][a-z]+ [a-z]", line):
             running.add(i)
         elif _ET_AL.match(line) and (i in near or numbered):
             running.add(i)
         elif k in names and len(line.split()) <= 3 and (i in near or numbered):
             running.add(i)
-        elif len(k) >= 10 and i not in title_lines and (titled or line.isupper() or numbered) and _is_prefix(k, title) and not _END.search(line.rstrip(": ")):
+        elif len(k) >= 10 and i not in title_lines and (titled or line.isupper() or numbered) and _is_prefix(k, title, title_grams) and not _END.search(line.rstrip(": ")):
             running.add(i)
     for i in body:
         line = lines[i].strip()
-        if i in running or i in title_lines or i not in near or _LISTED.match(line) or len(line) > 100 or not keys[i] or _END.search(line) and not _ET_AL.match(line):
+        if i in running or i in title_lines or i not in near or _LISTED.match(line) or len(line) > LONGEST_HEAD or not keys[i] or _END.search(line) and not _ET_AL.match(line):
             continue
         if _NUMBERED.search(line) and len(cells_of(line)) < 3 and len(keys[i]) >= 3 and not re.match(r"^\d+\s{2,}[a-z]", line):
             running.add(i)
-        elif len(keys[i]) >= 4 and len(line) <= 70 and "=" not in line and _repeated(i, keys, near) and (line.isupper() or line[:1].isupper() and _beside_number(i, filled, place, pages | feeds) and sum(w in _RUNNING for w in line.lower().split()) < 3):
+        elif len(keys[i]) >= 4 and len(line) <= 70 and "=" not in line and (line.isupper() or line[:1].isupper() and _beside_number(i, filled, place, breaks) and sum(w in _RUNNING for w in line.lower().split()) < 3) and repeats.repeated(keys[i]):
             running.add(i)
     # a header stands above the head of the paper as well; a title, which authors follow, doesn't count as one
     for i in head[:1]:
         own = keys[i]
-        same = [j for j in running if own and (keys[j] == own or len(own) >= 12 and SequenceMatcher(None, keys[j], own, autojunk=False).ratio() >= 0.88)]
-        if i not in running and same and not any(_author_line(lines[j]) for j in head[1:3]) and len(lines[i].strip()) <= 100:
+        same = [j for j in running if own and (keys[j] == own or len(own) >= 12 and _alike(keys[j], own, SAME_LINE))]
+        if i not in running and same and not any(_author_line(lines[j]) for j in head[1:3]) and len(lines[i].strip()) <= LONGEST_HEAD:
             running.add(i)
     return pages, running
 
@@ -154,34 +232,50 @@ def _author_line(line: str) -> bool:
     return 1 < len(words) <= 16 and sum(w[:1].isupper() for w in words) >= 0.8 * len(words)
 
 
-def _is_prefix(k: str, title: str) -> bool:
+def _is_prefix(k: str, title: str, title_grams: set[str]) -> bool:
     if not title or len(k) > len(title) + 2:
         return False
-    return title.startswith(k) or len(k) >= 14 and (k[:3] == title[:3] or k[3:8] == title[3:8]) and SequenceMatcher(None, k, title[: len(k)], autojunk=False).ratio() >= 0.86
+    if title.startswith(k):
+        return True
+    # as in Repeats: alike strings share all but a few of their three-letter groups
+    grams = _grams(k)
+    return len(k) >= 14 and len(grams & title_grams) >= len(grams) - _lost(k, SAME_TITLE) and _alike(k, title[: len(k)], SAME_TITLE)
 
 
-def _repeated(i: int, keys: dict[int, str], near: set[int]) -> bool:
-    k = keys[i]
-    return any(j != i and (keys[j] == k or len(k) >= 8 and abs(len(keys[j]) - len(k)) <= 2 and (keys[j][:3] == k[:3] or keys[j][-3:] == k[-3:]) and SequenceMatcher(None, k, keys[j], autojunk=False).ratio() >= 0.88) for j in near if j in keys)
+def is_markup(content: str) -> bool:
+    """Whether a content is a markup document, which has no lines of pages."""
+    return content.lstrip()[:9].lower().startswith(("<?xml", "<tei", "<html", "<!doctype"))
 
 
-def is_scanned_candidate(content: str) -> bool:
-    """Whether a content is plain text that can hold scanning noise: no markup document, readable, with running text."""
-    head = content[:200].lstrip().lower()
-    if head.startswith(("<?xml", "<tei", "<html", "<!doctype")) or unreadable(content):
-        return False
-    words = re.findall(r"[^\W\d_]+", content.lower())
-    return len(words) >= 8 and sum(w in _RUNNING for w in words) >= 0.1 * len(words)
+def garbled_lines(lines: list[str]) -> frozenset[int]:
+    """Indexes of the lines of paragraphs that nobody can read."""
+    out: set[int] = set()
+    start = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i].strip():
+            if i > start and is_garbled("\n".join(lines[start:i])):
+                out.update(range(start, i))
+            start = i + 1
+    return frozenset(out)
+
+
+class Spelling(dict):
+    """Token as read -> word in lower case without marks around, or None; remembers what it has seen, in bounds."""
+
+    def __missing__(self, token: str) -> str | None:
+        if len(self) > FLUSH:
+            self.clear()
+        t = token.strip("-'’" + _HYPHENS)
+        word = self[token] = t.lower() if len(t) > 1 and _LETTER.search(t) else None
+        return word
+
+
+_SPELLING = Spelling()
 
 
 def tokens_of(line: str) -> list[str]:
     """Words as they were read, with signs inside and without marks around."""
-    out = []
-    for m in _TOKEN.finditer(line):
-        t = m.group().strip("-'’" + _HYPHENS)
-        if len(t) > 1 and _LETTER.search(t):
-            out.append(t.lower())
-    return out
+    return [w for t in _TOKEN.findall(line) if (w := _SPELLING[t])]
 
 
 @lru_cache(maxsize=1)
@@ -210,22 +304,25 @@ class Page:
     """A content's lines with their parts: page numbers, running lines, and the pairs at line ends."""
 
     def __init__(self, content: str):
-        self.lines = content.split("\n")
-        self.lines = [x.rstrip("\r") for x in self.lines]
-        self.pages, self.running = page_lines(self.lines)
-        self.body = [i for i, x in enumerate(self.lines) if x.strip() and i not in self.pages and i not in self.running]
+        self.lines = [x.rstrip("\r") for x in content.split("\n")]
+        garbled = garbled_lines(self.lines)
+        self.pages, self.running = page_lines(self.lines, garbled)
+        self.body = [i for i, x in enumerate(self.lines) if x.strip() and i not in self.pages and i not in self.running and i not in garbled]
 
-    def line_ends(self) -> Iterator[tuple[int, int, str, str, bool]]:
-        """Line, next line of running text, the word piece at the end and at the beginning, whether a hyphen is there."""
+    def line_ends(self) -> Iterator[tuple[int, int, str, str]]:
+        """Line that a hyphen ends, next line of running text, the word piece at the end and at the beginning."""
         for i, j in zip(self.body, self.body[1:]):
-            left = re.search(rf"([^\W\d_][^\s]*?)([{_HYPHENS}]?)\s*$", self.lines[i])
-            right = re.match(r"[\s\f]*([^\s]+)", self.lines[j])
-            if not left or not right or len(cells_of(self.lines[i])) >= 3 or re.match(r"\s*[-*•–]\s", self.lines[j]):
+            before = self.lines[i].rstrip()
+            if before[-1:] not in _HYPHENS:
                 continue
-            a = re.search(r"[^\W_][^\s(\[“\"]*$", left.group(1))
-            b = re.match(r"[^\W_](?:[^\s,;:.?!)\]”\"]*)", right.group(1))
+            left = _LEFT.search(before, max(before.rfind(" "), before.rfind("\t")) + 1, len(before) - 1)
+            right = self.lines[j].split(None, 1)
+            if not left or not right or len(cells_of(before)) >= 3 or _BULLET.match(self.lines[j]):
+                continue
+            a = _LEFT_PIECE.search(left.group())
+            b = _RIGHT_PIECE.match(right[0])
             if a and b:
-                yield i, j, a.group().lower(), b.group().strip(_HYPHENS).lower(), bool(left.group(2))
+                yield i, j, a.group().lower(), b.group().strip(_HYPHENS).lower()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +336,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for content in batch.column(0).to_pylist():
-            if not is_scanned_candidate(content):
+            if is_markup(content):  # its words count as well
+                for line in to_lines(content):
+                    if len(cells_of(line)) < 3:
+                        counts.update((w, None) for w in tokens_of(line))
                 continue
             page = Page(content)
-            split = [(i, j, a, b) for i, j, a, b, hyphen in page.line_ends() if hyphen]
+            split = list(page.line_ends())
             cut_ends, cut_starts = {x[0] for x in split} | {page.body[-1]} if page.body else set(), {x[1] for x in split}
             for i in page.body:
                 if len(cells_of(page.lines[i])) < 3:
@@ -259,7 +359,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_lookup(df: DataFrame, content_col: str = "content") -> DataFrame:
     """``key`` and ``value`` over the whole corpus: ``m:word`` -> what it should read, ``s:left|right`` -> how the
     pieces of a word at a line's end go together (``joined``, ``hyphen`` or ``apart``)."""
-    counted = cut_lineage(df.where(F.col(content_col).isNotNull()).select(content_col).mapInArrow(_count, "word string, right string, n bigint").groupBy("word", "right").agg(F.sum("n").alias("n")))
+    counted = cut_lineage(spread(df.where(F.col(content_col).isNotNull()).select(content_col)).mapInArrow(_count, "word string, right string, n bigint").groupBy("word", "right").agg(F.sum("n").alias("n")))
     words = counted.where("right is null").select("word", "n")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,26 +384,24 @@ def build_lookup(df: DataFrame, content_col: str = "content") -> DataFrame:
 
 def doc_keys(content: str) -> list[str]:
     """All lookup keys that a content can need."""
-    if not is_scanned_candidate(content):
+    if is_markup(content):
         return []
     page = Page(content)
     keys = {f"m:{w}" for i in page.body for w in tokens_of(page.lines[i])}
-    for *_, a, b, hyphen in page.line_ends():
-        keys |= {f"s:{a}|{b}", f"m:{a}{b}"} if hyphen else set()
+    for *_, a, b in page.line_ends():
+        keys |= {f"s:{a}|{b}", f"m:{a}{b}"}
     return sorted(keys)
 
 
 def noise_of(content: str, lookup: dict[str, str]) -> list[tuple[int, str]]:
     """(line number from 1, kind) of each line with noise."""
-    if not is_scanned_candidate(content):
+    if is_markup(content):
         return []
     page = Page(content)
     out = {(i + 1, "page_number") for i in page.pages} | {(i + 1, "running") for i in page.running}
     first_piece: dict[int, str] = {}
     last_piece: dict[int, str] = {}
-    for i, j, a, b, hyphen in page.line_ends():
-        if not hyphen:
-            continue
+    for i, j, a, b in page.line_ends():
         how = lookup.get(f"s:{a}|{b}", "apart" if b in _SUSPENDED else "joined")
         if how == "apart":
             continue
@@ -330,10 +428,10 @@ def repair(content: str, lookup: dict[str, str]) -> str:
     """The text in paragraphs: page lines taken out, lines joined, split words put together, misread words corrected.
     Paragraphs end at blank lines (unless a page break parts a sentence), at indented lines, and around short lines
     without an end mark; table rows and list items keep lines of their own. Other contents come back as they are."""
-    if not is_scanned_candidate(content):
+    if is_markup(content):
         return content
     page = Page(content)
-    ends = {i: (j, lookup.get(f"s:{a}|{b}", "apart" if b in _SUSPENDED else "joined")) for i, j, a, b, hyphen in page.line_ends() if hyphen}
+    ends = {i: (j, lookup.get(f"s:{a}|{b}", "apart" if b in _SUSPENDED else "joined")) for i, j, a, b in page.line_ends()}
     correct = lambda line: _TOKEN.sub(lambda m: _like(m.group(), lookup), line)
     width = max((len(page.lines[i]) for i in page.body), default=0)
     out: list[str] = []
@@ -383,7 +481,7 @@ def _with_lookup(df: DataFrame, id_col: str, content_col: str, most_broadcast: i
             for batch in batches:
                 yield make(batch.column("id"), batch.column("content").to_pylist(), [shared.value] * batch.num_rows)
 
-        return known.mapInArrow(run, f"id {kind}, {schema}")
+        return spread(known).mapInArrow(run, f"id {kind}, {schema}")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,7 +48,8 @@ _ITEM = re.compile(r"\s*\S{1,24}(?:\s\S{1,24}){0,3}\s*([=:])\s+\S")
 _TAG_OR_ENTITY = re.compile(r"</?[A-Za-z][\w:.-]*[^<>]*>|&\w+;")
 _SIGNS = re.compile(r"[^\w\s.|\-–,;:()\[\]&]|_")
 _STRANGE = re.compile("[\ufffd\x00-\x08\x0e-\x1f]")
-_VOWEL = re.compile("[aeiouyàáâäåèéêëìíîïòóôöùúûü]", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NO_VOWEL = re.compile(r"(?<![^\W\d_])[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{2,}(?![^\W\d_])")
 _BEFORE_ROOT = re.compile(r"\s*(?:<[?!][^>]*>\s*)*")
 _ROOT = re.compile(r"<([A-Za-z][\w:.-]*)(?=[\s>])")
 _OPEN_TAG = re.compile(r"<[A-Za-z/][^<>]*$")
@@ -198,6 +199,8 @@ def unreadable(text: str) -> bool:
 
 def is_garbled(text: str) -> bool:
     """Whether a stretch of text, tags aside, is signs, broken characters, or words without vowels."""
+    if sum(map(text.count, "aeiou")) > 0.25 * len(text) and text.count(" ") > 0.1 * len(text):
+        return False  # written as most languages with Latin letters are
     bare = _TAG_OR_ENTITY.sub(" ", text) if "<" in text or "&" in text else text
     parts = bare.split()
     n = sum(map(len, parts))
@@ -205,8 +208,7 @@ def is_garbled(text: str) -> bool:
         return False
     if len(_STRANGE.findall(bare)) > 0.15 * n or len(_SIGNS.findall(bare)) > 0.4 * n or sum(len(t) for t in parts if len(t) > 40) > 0.5 * n:
         return True
-    words = _WORD.findall(bare)
-    return sum(len(w) > 1 and not _VOWEL.search(w) for w in words) > 0.4 * max(8, len(words))
+    return len(_NO_VOWEL.findall(bare)) > 0.4 * max(8, len(_LETTERS.findall(bare)))
 
 
 def _furniture(line: str, plain: list[str], k: int, title: str) -> bool:
