@@ -39,6 +39,10 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(read_table(spark, d, "parsed_docs"), read_table(spark, d, "common_words"))
 
 
+def p3_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return quality.calibration(quality.text_statistics(read_table(spark, d, "parsed_docs"), read_table(spark, d, "common_words")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.find_defects(read_table(spark, d, "results"), read_table(spark, d, "queries"), read_table(spark, d, "common_words"))
 
@@ -76,7 +80,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return webspam.score_pages(documents, webspam.fit_prose_model(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_limits, p2_rates, p3_found, p3_statistics, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_limits, p2_rates, p3_found, p3_statistics, p3_calibration, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_scores)}
 
 #: The others can't be said in SQL; tests/llm checks them by round trips, brute force and labelled cases.
 ORACLE_SQL = {
