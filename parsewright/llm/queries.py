@@ -19,6 +19,17 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(read_table(spark, d, "chunks"))
 
 
+def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each oversized text put together again without what they share: ``chunk_id``, units, and the text's MD5."""
+    chunks = read_table(spark, d, "chunks")
+    limits = chunks.select("chunk_id", "unit", F.least(F.greatest(F.coalesce("chunk_overlap", F.lit(0)), F.lit(0)), F.col("chunk_size") - 1).alias("overlap"))
+    pieces = split.split_oversized(chunks).join(limits, "chunk_id")
+    shared = F.concat(F.lit(r"^(?:[^ \t\r\n]+[ \t\r\n]+){"), F.col("overlap"), F.lit("}"))
+    own = F.when(F.col("piece") == 0, F.col("text")).when(F.col("unit") == "token", F.regexp_replace("text", shared, F.lit(""))).otherwise(F.substring("text", F.col("overlap") + 1, F.length("text")))
+    texts = pieces.withColumn("own", own).groupBy("chunk_id", "unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"]), "").alias("text"))
+    return texts.select("chunk_id", split.units_of(F.col("text"), F.col("unit")).cast("bigint").alias("n_units"), F.md5("text").alias("text_md5"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.find_truncated(read_table(spark, d, "parsed_docs")).select("parse_id")
 
@@ -80,7 +91,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return webspam.score_pages(documents, webspam.fit_prose_model(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_limits, p2_rates, p3_found, p3_statistics, p3_calibration, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_limits, p2_rates, p3_found, p3_statistics, p3_calibration, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_scores)}
 
 #: The others can't be said in SQL; tests/llm checks them by round trips, brute force and labelled cases.
 ORACLE_SQL = {
@@ -90,4 +101,11 @@ ORACLE_SQL = {
           AND CASE WHEN unit = 'token' THEN len(regexp_extract_all(text, '[^ \t\r\n]+')) ELSE length(text) END
               > chunk_size + greatest(coalesce(chunk_overlap, 0), 0)
     """,
+    "p1_rejoined": r"""
+        WITH sized AS (
+            SELECT *, CASE WHEN unit = 'token' THEN len(regexp_extract_all(text, '[^ \t\r\n]+')) ELSE length(text) END AS n_units
+            FROM chunks WHERE text IS NOT NULL AND chunk_size > 0)
+        SELECT chunk_id, CAST(n_units AS BIGINT) AS n_units, md5(text) AS text_md5 FROM sized
+        WHERE n_units > chunk_size + greatest(coalesce(chunk_overlap, 0), 0)
+    """,
 }

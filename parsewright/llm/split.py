@@ -1,10 +1,10 @@
 """Problem 1: items larger than their limit are cut into pieces at natural boundaries.
 
 Byte-range processing. A text is looked at in ranges of ``RANGE`` characters with a halo on both
-sides; a worker finds the boundaries of its range and counts the range's units. The boundary tables
-of a text are stitched by prefix sums of the ranges' lengths, the cuts are chosen in that table alone,
-and pieces are emitted by offset from the ranges they touch. No step needs a whole text at once;
-``split_files`` reads giant files range by range as well.
+sides; a worker finds the boundaries of its range and counts the range's units. Prefix sums of the ranges' lengths
+stitch the boundary tables of a text; the cuts are chosen in one go over its ranges in order, which holds only the
+ranges that the open piece touches; and pieces are emitted by offset from the ranges they touch. No step needs a whole
+text at once, nor its whole table; ``split_files`` reads giant files range by range as well.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parsewright.session import cut_lineage
+
 #: Characters in a range, and characters of context on either side of it.
 RANGE, HALO = 16_384, 64
 #: A limit's share after which a natural boundary is taken rather than a fuller piece.
@@ -34,7 +34,10 @@ _TOKEN = re.compile(r"[^ \t\r\n]+")
 # Characters that belong to the one before them: no cut is made in front of these.
 _JOINED = re.compile("[̀-ًͯ-ٟऀ-ःऺ-ॏ‍⃐-⃿︀-️︠-︯\U0001f3fb-\U0001f3ff]")
 
-_PLAN = "key struct<id:{id},hash:bigint>, unit string, chunk_size int, overlap int, n_units bigint, range_units array<bigint>, cuts array<bigint>"
+_PARTS = "key struct<id:{id},hash:bigint>, unit string, range_no int, parts array<struct<piece:int,n_parts:int,lo:bigint,hi:bigint,first:boolean,last:boolean>>"
+_PART = pa.list_(pa.struct([("piece", pa.int32()), ("n_parts", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_())]))
+#: Rows that a task hands on together.
+ROWS_OUT = 256
 
 
 def units_of(text: Column, unit: Column) -> Column:
@@ -78,23 +81,60 @@ def boundaries(body: str, before: str, after: str, unit: str, stretch: int) -> t
     return n_units, [a for a, _ in found], [r for _, r in found]
 
 
-def choose_cuts(n_units: int, size: int, overlap: int, at: list[int], ranks: list[int]) -> list[int]:
-    """Ends of the pieces, in units. A piece starts ``overlap`` units before the end of the one before.
+class Cutter:
+    """Chooses the pieces of one text from its ranges in order, and says what part each range has of them.
 
-    The end is the highest-ranked boundary, and of those the last, that leaves the piece no larger than
-    ``size`` and gives it at least ``LEAST_FILL`` of the new units that it has room for; without any, the
-    piece is filled to ``size``.
+    A piece starts ``overlap`` units before the end of the one before. Its end is the highest-ranked boundary, and of those
+    the last, that leaves the piece no larger than ``size`` and gives it at least ``LEAST_FILL`` of the new units that it has
+    room for; without any, the piece is filled to ``size``. Ranges are held only while the open piece may touch them.
     """
-    ends, done = [], 0
-    while True:
-        start = max(0, done - overlap) if ends else 0
-        if n_units - start <= size:
-            return [*ends, n_units]
-        most = start + size
-        least = max(done + max(1, int((most - done) * LEAST_FILL)), overlap)  # the first piece must hold what it shares
-        lo, hi = bisect.bisect_left(at, least), bisect.bisect_right(at, most)
-        done = max(((ranks[k], at[k]) for k in range(lo, hi)), default=(0, most))[1]
-        ends.append(done)
+
+    def __init__(self, total: int, size: int, overlap: int, unit: str):
+        self.total, self.size, self.overlap, self.unit = total, size, min(overlap, size - 1), unit
+        self.ranges: list[tuple[int, int, int, list[dict]]] = []  # number, offset, units, parts
+        self.at: list[int] = []
+        self.ranks: list[int] = []
+        self.done = self.piece = self.seen = 0
+
+    def add(self, no: int, offset: int, units: int, at: list[int], ranks: list[int], last: bool) -> list[tuple[int, list[dict]]]:
+        """The ranges that are done with, and their parts."""
+        self.ranges.append((no, offset, units, []))
+        self.at += [offset + a for a in at]
+        self.ranks += ranks
+        self.seen = offset + units
+        while True:
+            start = max(0, self.done - self.overlap) if self.piece else 0
+            if self.total - start <= self.size:
+                if not last:
+                    return self._passed(start)
+                self._cut(start, self.total, True)
+                out, self.ranges = self.ranges, []
+                return [(n, parts) for n, _, _, parts in out if parts]
+            most = start + self.size
+            if self.seen <= most and not last:
+                return self._passed(start)
+            least = max(self.done + max(1, int((most - self.done) * LEAST_FILL)), self.overlap)  # the first piece must hold what it shares
+            lo, hi = bisect.bisect_left(self.at, least), bisect.bisect_right(self.at, most)
+            end = max(((self.ranks[k], self.at[k]) for k in range(lo, hi)), default=(0, most))[1]
+            self._cut(start, end, False)
+            self.done = end
+            self.piece += 1
+
+    def _cut(self, start: int, end: int, final: bool) -> None:
+        offsets = [r[1] for r in self.ranges]
+        a = bisect.bisect_right(offsets, start) - 1 if self.piece else 0
+        # in tokens a piece goes on to where the next one begins, be it in a later range
+        b = len(offsets) - 1 if final else (bisect.bisect_right if self.unit == "token" else bisect.bisect_left)(offsets, end) - 1
+        for k in range(a, b + 1):
+            _, offset, units, parts = self.ranges[k]
+            parts.append({"piece": self.piece, "n_parts": b - a + 1, "lo": max(0, start - offset), "hi": min(end - offset, units), "first": k == a and self.piece > 0, "last": k == b and not final})
+
+    def _passed(self, start: int) -> list[tuple[int, list[dict]]]:
+        k = bisect.bisect_right([r[1] for r in self.ranges], start) - 1 if self.piece else 0
+        out, self.ranges = self.ranges[:k], self.ranges[k:]
+        old = bisect.bisect_left(self.at, self.done)
+        self.at, self.ranks = self.at[old:], self.ranks[old:]
+        return [(n, parts) for n, _, _, parts in out if parts]
 
 
 def _detect(ranges: DataFrame, id_type: str) -> DataFrame:
@@ -111,55 +151,43 @@ def _detect(ranges: DataFrame, id_type: str) -> DataFrame:
     return ranges.mapInArrow(run, schema)
 
 
-def _stitch(tables: DataFrame, id_type: str) -> DataFrame:
-    """One row per text: units in all and by range, and its cuts; texts within the limit drop out."""
-    one = tables.dropDuplicates(["key", "range_no"])  # a row that is there twice has its ranges twice
-    stitched = one.groupBy("key").agg(
-        *(F.first(c).alias(c) for c in ("unit", "chunk_size", "overlap")),
-        F.sum("n_units").alias("n_units"),
-        F.sort_array(F.collect_list(F.struct("range_no", "n_units", "at", "ranks"))).alias("tables"),
-    )
-    large = stitched.where(F.col("n_units") > F.col("chunk_size").cast("bigint") + F.col("overlap"))
+def _stitched(tables: DataFrame) -> DataFrame:
+    """The tables of oversized texts with ``offset``, the units before the range, and ``total``, all units of the text;
+    ranges of a text in order in one task. A row that is there twice counts once."""
+    same, whole = Window.partitionBy("key", "range_no").orderBy("n_units"), Window.partitionBy("key")
+    once = tables.repartition("key").withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    before = F.sum("n_units").over(whole.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))
+    summed = once.withColumn("offset", F.coalesce(before, F.lit(0))).withColumn("total", F.sum("n_units").over(whole)).withColumn("n_ranges", F.count("*").over(whole))
+    return summed.where(F.col("total") > F.col("chunk_size").cast("bigint") + F.col("overlap")).sortWithinPartitions("key", "range_no")
+
+
+def _parts(tables: DataFrame, id_type: str) -> DataFrame:
+    """The pieces of each range: from and to in the range's own units, one row per range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums, cuts = [], []
-            for size, overlap, n, parts in zip(*(batch.column(c).to_pylist() for c in ("chunk_size", "overlap", "n_units", "tables"))):
-                offsets = np.cumsum([0, *(p["n_units"] for p in parts)]).tolist()
-                at = [o + a for o, p in zip(offsets, parts) for a in p["at"]]
-                sums.append([p["n_units"] for p in parts])
-                cuts.append(choose_cuts(n, size, min(overlap, size - 1), at, [r for p in parts for r in p["ranks"]]))
-            big = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "unit", "chunk_size", "overlap", "n_units")), pa.array(sums, big), pa.array(cuts, big)], names=["key", "unit", "chunk_size", "overlap", "n_units", "range_units", "cuts"])
+        rows: list[tuple] = []
 
-    return large.mapInArrow(run, _PLAN.format(id=id_type))
+        def out() -> pa.RecordBatch:
+            keys = pa.array([r[0] for r in rows], key_type)
+            batch = pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], _PART)], names=["key", "unit", "range_no", "parts"])
+            rows.clear()
+            return batch
 
+        cutter = current = None
+        key_type = None
+        for batch in batches:
+            key_type = batch.schema.field("key").type
+            for key, unit, size, overlap, no, units, at, ranks, offset, total, n_ranges in zip(*(batch.column(c).to_pylist() for c in ("key", "unit", "chunk_size", "overlap", "range_no", "n_units", "at", "ranks", "offset", "total", "n_ranges"))):
+                if key != current:
+                    cutter, current, left = Cutter(total, size, overlap, unit), key, n_ranges
+                left -= 1
+                rows += [(key, unit, n, parts) for n, parts in cutter.add(no, offset, units, at, ranks, left == 0)]
+                if len(rows) >= ROWS_OUT:
+                    yield out()
+        if rows:
+            yield out()
 
-def _parts(plan: DataFrame, id_type: str) -> DataFrame:
-    """The pieces of each range: from and to in the range's own units, one row per range."""
-    schema = f"key struct<id:{id_type},hash:bigint>, unit string, n_pieces int, range_no int, parts array<struct<piece:int,n_parts:int,lo:bigint,hi:bigint,first:boolean,last:boolean>>"
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            rows: list[tuple] = []
-            for i, (unit, size, overlap, counts, cuts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "chunk_size", "overlap", "range_units", "cuts")))):
-                overlap = min(overlap, size - 1)
-                offsets = np.cumsum([0, *counts]).tolist()
-                of: dict[int, list[dict]] = {}
-                for piece, end in enumerate(cuts):
-                    start = max(0, cuts[piece - 1] - overlap) if piece else 0
-                    a, b = bisect.bisect_right(offsets, start) - 1, bisect.bisect_left(offsets, end) - 1
-                    if unit == "token":  # a piece goes on to where the next token begins, be it in a later range
-                        b = bisect.bisect_right(offsets, end) - 1
-                    a, b = (0 if not piece else min(a, len(counts) - 1)), (len(counts) - 1 if piece == len(cuts) - 1 else b)
-                    for r in range(a, b + 1):
-                        of.setdefault(r, []).append({"piece": piece, "n_parts": b - a + 1, "lo": max(0, start - offsets[r]), "hi": min(end - offsets[r], counts[r]), "first": r == a and piece > 0, "last": r == b and piece < len(cuts) - 1})
-                rows += [(i, len(cuts), r, parts) for r, parts in of.items()]
-            take = pa.array([i for i, *_ in rows], pa.int64())
-            kind = pa.list_(pa.struct([("piece", pa.int32()), ("n_parts", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("unit").take(take), pa.array([n for _, n, *_ in rows], pa.int32()), pa.array([r for *_, r, _ in rows], pa.int32()), pa.array([p for *_, p in rows], kind)], names=["key", "unit", "n_pieces", "range_no", "parts"])
-
-    return plan.mapInArrow(run, schema)
+    return _stitched(tables).mapInArrow(run, _PARTS.format(id=id_type))
 
 
 def cut_range(body: str, before: str, unit: str, parts: list[dict]) -> list[str]:
@@ -176,9 +204,9 @@ def cut_range(body: str, before: str, unit: str, parts: list[dict]) -> list[str]
 
 def _emit(parts: DataFrame, ranges: DataFrame, id_type: str) -> DataFrame:
     texts = ranges.select("key", "range_no", "body", "before").dropDuplicates(["key", "range_no"])
-    joined = parts.alias("p").join(texts.alias("t"), F.col("p.key").eqNullSafe(F.col("t.key")) & (F.col("p.range_no") == F.col("t.range_no"))).select("p.key", "p.unit", "p.n_pieces", "p.range_no", "p.parts", "t.body", "t.before")
-    same = ("key", "unit", "n_pieces", "range_no")
-    schema = f"key struct<id:{id_type},hash:bigint>, unit string, n_pieces int, range_no int, piece int, n_parts int, text string"
+    joined = parts.alias("p").join(texts.alias("t"), F.col("p.key").eqNullSafe(F.col("t.key")) & (F.col("p.range_no") == F.col("t.range_no"))).select("p.key", "p.unit", "p.range_no", "p.parts", "t.body", "t.before")
+    same = ("key", "unit", "range_no")
+    schema = f"key struct<id:{id_type},hash:bigint>, unit string, range_no int, piece int, n_parts int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,71 +220,83 @@ def _emit(parts: DataFrame, ranges: DataFrame, id_type: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in same), pa.array(piece, pa.int32()), pa.array(n_parts, pa.int32()), pa.array(texts, pa.string())], names=[*same, "piece", "n_parts", "text"])
 
     pieces = joined.mapInArrow(run, schema)
-    whole = pieces.where("n_parts = 1").select("key", "unit", "n_pieces", "piece", "text")
+    whole = pieces.where("n_parts = 1").select("key", "unit", "piece", "text")
     # most pieces lie in one range; only the others are gathered
-    across = pieces.where("n_parts > 1").groupBy("key", "unit", "n_pieces", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range_no", "text"))), lambda x: x["text"]), "").alias("text"))
+    across = pieces.where("n_parts > 1").groupBy("key", "unit", "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range_no", "text"))), lambda x: x["text"]), "").alias("text"))
     return whole.unionByName(across)
 
 
-def to_ranges(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", unit_col: str = "unit", size_col: str = "chunk_size", overlap_col: str = "chunk_overlap", spread: bool = True) -> DataFrame:
-    """Texts as ranges with halos. A text that fits its limit by an upper bound of its units is left out."""
+def to_ranges(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", unit_col: str = "unit", size_col: str = "chunk_size", overlap_col: str = "chunk_overlap", metadata_col: str | None = None) -> DataFrame:
+    """Texts as ranges with halos, in one pass over each; the first range bears ``metadata`` if asked for. A text that fits its
+    limit by an upper bound of its units is left out."""
     size, overlap = F.col(size_col).cast("int"), F.greatest(F.coalesce(F.col(overlap_col).cast("int"), F.lit(0)), F.lit(0))
     text, unit = F.col(text_col), F.when(F.col(unit_col) == "token", "token").otherwise("char")
     # tokens are at most the blanks between them and one
     most_units = F.when(F.col(unit_col) == "token", F.length(text) - F.length(F.translate(text, " \t\r\n", "")) + 1).otherwise(F.length(text))
     known = df.where((size > 0) & (most_units > size.cast("bigint") + overlap))
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, unit, size, overlap).alias("hash"))
-    rows = known.select(key.alias("key"), unit.alias("unit"), size.alias("chunk_size"), overlap.alias("overlap"), text.alias("whole"), F.explode(F.sequence(F.lit(0), ((F.length(text) - 1) / RANGE).cast("int"))).alias("range_no"))
-    at = F.col("range_no") * RANGE
-    cut = rows.select(
-        "key", "unit", "chunk_size", "overlap", "range_no",
-        F.substring("whole", at + 1, F.lit(RANGE)).alias("body"),
-        F.when(F.col("range_no") == 0, "").otherwise(F.substring("whole", at + 1 - HALO, F.lit(HALO))).alias("before"),
-        F.substring("whole", at + 1 + RANGE, F.lit(HALO)).alias("after"),
-    )
-    return cut.repartition("key", "range_no") if spread else cut
+    rows = known.select(key.alias("key"), unit.alias("unit"), size.alias("chunk_size"), overlap.alias("overlap"), *([F.col(metadata_col).alias("metadata")] if metadata_col else []), text.alias("whole"))
+    kept = [f for f in rows.schema.fields if f.name != "whole"]
+    schema = T.StructType([*kept, T.StructField("range_no", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("body", "before", "after"))])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                take = pa.array([c[0] for c in cuts], pa.int64())
+                first = pa.array([c[0] if c[1] == 0 else None for c in cuts], pa.int64())
+                columns = [batch.column(f.name).take(first if f.name == "metadata" else take) for f in kept]
+                done = pa.RecordBatch.from_arrays([*columns, pa.array([c[1] for c in cuts], pa.int32()), *(pa.array([c[k] for c in cuts], pa.string()) for k in (2, 3, 4))], names=names)
+                cuts.clear()
+                return done
+
+            for i, whole in enumerate(batch.column("whole").to_pylist()):
+                for no, at in enumerate(range(0, len(whole), RANGE)):
+                    cuts.append((i, no, whole[at : at + RANGE], whole[max(0, at - HALO) : at], whole[at + RANGE : at + RANGE + HALO]))
+                    if len(cuts) >= ROWS_OUT:
+                        yield out()
+            if cuts:
+                yield out()
+
+    return rows.mapInArrow(run, schema).repartition("key", "range_no")
 
 
 def _id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
-def split_plan(df: DataFrame, id_col: str = "chunk_id", **columns: str) -> DataFrame:
-    """One row per oversized text: ``key`` (the id and a hash), its size in units, units by range, and the ends of its pieces.
+def oversized(df: DataFrame, id_col: str = "chunk_id", **columns: str) -> DataFrame:
+    """Ids of the oversized texts, each once: the sums of their ranges' units exceed the limit.
 
     Oversized is a text of more than ``chunk_size + chunk_overlap`` units. Null, empty and blank-only
-    texts, a null or non-positive size: no row. A null or negative overlap is 0; one of ``chunk_size``
-    or more is taken as ``chunk_size - 1``. Rows that are equal in id, text and settings give one plan.
+    texts, a null or non-positive size: no row. A null or negative overlap is 0.
     """
-    kind = _id_type(df, id_col)
-    return _stitch(_detect(to_ranges(df, id_col, **columns), kind), kind)
-
-
-def oversized(df: DataFrame, id_col: str = "chunk_id", **columns: str) -> DataFrame:
-    """Ids of the oversized texts, each once."""
-    return split_plan(df, id_col, **columns).select(F.col("key.id").alias(id_col)).distinct()
+    tables = _detect(to_ranges(df, id_col, **columns), _id_type(df, id_col))
+    once = tables.groupBy("key", "range_no").agg(F.max("n_units").alias("n"), F.first("chunk_size").alias("size"), F.first("overlap").alias("overlap"))
+    texts = once.groupBy("key").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("overlap").alias("overlap"))
+    return texts.where(F.col("n") > F.col("size").cast("bigint") + F.col("overlap")).select(F.col("key.id").alias(id_col)).distinct()
 
 
 def split_oversized(df: DataFrame, id_col: str = "chunk_id", metadata_col: str | None = "metadata", **columns: str) -> DataFrame:
     """Pieces of the oversized texts: id, ``piece`` from 0, ``n_pieces``, ``text``, ``n_units``, and the text's metadata.
 
     No piece has more than ``chunk_size`` units, each shares ``chunk_overlap`` units with the one before,
-    and without the shared units the pieces make up the text again. For special cases see ``split_plan``;
-    other columns of ``df`` play no part, whatever their names. Empty tables give empty results.
+    and without the shared units the pieces make up the text again. An overlap of ``chunk_size`` or more is taken as
+    ``chunk_size - 1``; rows that are equal in id, text and settings give their pieces once. For other cases see
+    ``oversized``; other columns of ``df`` play no part, whatever their names. Empty tables give empty results.
     """
     kind = _id_type(df, id_col)
-    ranges = to_ranges(df, id_col, **columns)
-    plan = _stitch(_detect(ranges, kind), kind)
-    pieces = _emit(_parts(plan, kind), ranges, kind)
-    out = pieces.select("key", "piece", "n_pieces", "text", units_of(F.col("text"), F.col("unit")).cast("int").alias("n_units"))
-    if metadata_col is None:
-        return out.select(F.col("key.id").alias(id_col), "piece", "n_pieces", "text", "n_units")
-    names = {"text_col": "text", "unit_col": "unit", "size_col": "chunk_size", "overlap_col": "chunk_overlap"} | columns
-    size, overlap = F.col(names["size_col"]).cast("int"), F.greatest(F.coalesce(F.col(names["overlap_col"]).cast("int"), F.lit(0)), F.lit(0))
-    unit = F.when(F.col(names["unit_col"]) == "token", "token").otherwise("char")
-    meta = df.where((size > 0) & (F.length(names["text_col"]) > size.cast("bigint") + overlap)).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(names["text_col"]), unit, size, overlap).alias("hash")).alias("key"), F.col(metadata_col).alias("metadata"))
-    meta = meta.groupBy("key").agg(F.first("metadata", ignorenulls=True).alias("metadata"))
-    return out.alias("a").join(meta.alias("m"), F.col("a.key").eqNullSafe(F.col("m.key")), "left").select(F.col("a.key.id").alias(id_col), "a.piece", "a.n_pieces", "a.text", "a.n_units", "m.metadata")
+    ranges = cut_lineage(to_ranges(df, id_col, metadata_col=metadata_col, **columns))  # read for the tables and for the pieces
+    parts = cut_lineage(_parts(_detect(ranges, kind), kind))
+    pieces = _emit(parts, ranges, kind)
+    texts = parts.groupBy("key").agg((F.max(F.array_max("parts.piece")) + 1).alias("n_pieces"))
+    if metadata_col is not None:
+        meta = ranges.where("range_no = 0").groupBy("key").agg(F.first("metadata", ignorenulls=True).alias("metadata"))
+        texts = texts.alias("t").join(meta.alias("m"), F.col("t.key").eqNullSafe(F.col("m.key"))).select("t.key", "t.n_pieces", "m.metadata")
+    joined = pieces.alias("a").join(texts.alias("t"), F.col("a.key").eqNullSafe(F.col("t.key")))
+    return joined.select(F.col("a.key.id").alias(id_col), "a.piece", "t.n_pieces", "a.text", units_of(F.col("a.text"), F.col("a.unit")).cast("int").alias("n_units"), *(["t.metadata"] if metadata_col is not None else []))
 
 
 def file_ranges(spark: SparkSession, paths: DataFrame, chunk_size: int, chunk_overlap: int = 0, unit: str = "char", range_bytes: int = 4 << 20) -> DataFrame:
@@ -294,5 +334,4 @@ def file_ranges(spark: SparkSession, paths: DataFrame, chunk_size: int, chunk_ov
 def split_files(spark: SparkSession, paths: DataFrame, chunk_size: int, chunk_overlap: int = 0, unit: str = "char", range_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of text files of any length: ``path``, ``piece``, ``text``; files within the limit come out nowhere."""
     ranges = file_ranges(spark, paths, chunk_size, chunk_overlap, unit, range_bytes)
-    plan = _stitch(_detect(ranges, "string"), "string")
-    return _emit(_parts(plan, "string"), ranges, "string").select(F.col("key.id").alias("path"), "piece", "text")
+    return _emit(_parts(_detect(ranges, "string"), "string"), ranges, "string").select(F.col("key.id").alias("path"), "piece", "text")

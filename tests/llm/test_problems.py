@@ -410,3 +410,25 @@ def test_rates_of_the_test_tables_are_whole(spark):
 
     ids = e.queries()["p6_ids"](spark, folder)
     assert ids.count() == spark.read.parquet(f"{folder}/documents.parquet").count() and ids.where(F.size("ids") < 0).count() == 0
+
+
+def test_the_cost_of_splitting_grows_with_the_text(spark):
+    import time
+
+    def cost(n):
+        df = spark.createDataFrame([(1, prose(8, 1) * n, "char", 1000, 100, None, 0, "")], CHUNKS)
+        began = time.perf_counter()
+        assert split.split_oversized(df).count() > n / 3
+        return time.perf_counter() - began
+
+    cost(500)
+    assert cost(8000) < 8 * max(cost(2000), 1)
+
+
+def test_a_cutter_holds_only_the_open_ranges():
+    cutter = split.Cutter(100_000, 250, 20, "char")
+    most = 0
+    for no in range(1000):
+        cutter.add(no, no * 100, 100, [33, 66], [1, 4], no == 999)
+        most = max(most, len(cutter.ranges), len(cutter.at))
+    assert most <= 20 and not cutter.ranges
