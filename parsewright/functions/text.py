@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's notion of white space and word characters is Unicode's; Java's needs the flag (?U) for it.
-_STRIP = r"(?U)^\s+|\s+$"
+# White space as Unicode has it, written out: patterns with Java's flag (?U) look every character up.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_WS = r"[\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Removals of reasoning marks from model output, in order.
@@ -21,7 +22,7 @@ NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def sanitize(text: Column, remove_tags: bool = False) -> Column:
@@ -29,7 +30,7 @@ def sanitize(text: Column, remove_tags: bool = False) -> Column:
     out = F.regexp_replace(text, r"\r\n?", "\n")
     if remove_tags:
         out = F.regexp_replace(out, r"<[^>]+>", " ")
-    out = F.regexp_replace(out, r"(?U)\n\s+", "\n")
+    out = F.regexp_replace(out, rf"\n{_WS}+", "\n")
     out = F.regexp_replace(out, r"[\t ]+", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return strip(out)
@@ -37,16 +38,12 @@ def sanitize(text: Column, remove_tags: bool = False) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words parted by white space; an empty array for blank text."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
-
-
-def detokenize(words: Column) -> Column:
-    return F.array_join(words, " ")
+    return F.filter(F.split(text, rf"{_WS}+"), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:
     """Parts that end in . ! or ?, without the white space after them."""
-    return F.split(text, r"(?U)(?<=[.!?])\s+")
+    return F.split(text, rf"(?<=[.!?]){_WS}+")
 
 
 def code_point_sum(text: Column) -> Column:
@@ -80,7 +77,7 @@ def word_characters(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Lower case without ASCII punctuation, white space made single blanks."""
-    return strip(F.regexp_replace(F.translate(F.lower(text), PUNCTUATION, ""), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.translate(F.lower(text), PUNCTUATION, ""), rf"{_WS}+", " "))
 
 
 def to_number(text: Column) -> Column:

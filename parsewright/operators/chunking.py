@@ -1,29 +1,30 @@
 """Cutting documents into chunks: token and character windows, sentences, paragraphs, sections.
 
-Windows, sentence splitting and markdown sections are column expressions. Packing is a fold over a
-document's sentences and stays one as well. Only what needs positions of markup or an XML tree runs in
-Arrow batches.
+All are column expressions over one row's text, so nothing is shuffled. What a lambda uses more than once is bound to a
+variable first (``let``), else it would be computed anew for each element. Only an XML tree and pretty JSON, which Spark
+has no expression for, come from an Arrow function, and only for texts that need it.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from parsewright.functions import text as T
+from parsewright.session import spread
 
 # The grid that chunk sweeps go through.
 GRID_SIZES, GRID_OVERLAPS = (50, 100, 250, 500, 750, 1000, 2500, 5000), (0, 250, 750)
 # Elements that hold paragraphs, and those that begin a section.
 PARAGRAPH_TAGS = frozenset(("p", "section", "article", "div"))
-_BLOCK = r"section|article|chapter|div|part"
+_HEADING = r"<h\d[^>]*>.*?</h\d>"
+_BLOCK = r"<(?:section|article|chapter|div|part)[^>]*>.*?</(?:section|article|chapter|div|part)>"
 
 
 def check_sizes(size: int, overlap: int) -> None:
@@ -31,6 +32,11 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("a chunk's size must be positive and its overlap smaller than it")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a variable that holds ``value``, which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _starts(n: Column, size: int, overlap: int) -> Column:
     """Where windows begin (from 0): every ``size - overlap`` until one reaches the end."""
     step = max(1, size - overlap)
@@ -40,34 +46,58 @@ def _starts(n: Column, size: int, overlap: int) -> Column:
 def token_windows(text: Column, size: int, overlap: int = 0) -> Column:
     """Array of windows of ``size`` words; the one of a blank text is an empty string, to be dropped after exploding."""
     check_sizes(size, overlap)
-    words = T.tokens(text)
-    return F.transform(_starts(F.size(words), size, overlap), lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
+    return let(T.tokens(text), lambda words: F.transform(_starts(F.size(words), size, overlap), lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
 
 
 def char_windows(text: Column, size: int, overlap: int = 0) -> Column:
-    """Array of windows of ``size`` characters."""
+    """Array of windows of ``size`` characters. The text is cut once into blocks of a step; a window is some blocks in a row."""
     check_sizes(size, overlap)
-    return F.transform(_starts(F.length(text), size, overlap), lambda s: F.substring(text, s + 1, F.lit(size)))
+    step = max(1, size - overlap)
+    blocks = F.struct(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("n"))
+    in_a_row = -(-size // step)
+    cut = lambda b: F.transform(_starts(b["n"], size, overlap), lambda s: F.left(F.array_join(F.slice(b["blocks"], (s / step).cast("int") + 1, F.lit(in_a_row)), ""), F.lit(size)))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(let(blocks, cut))
 
 
 def with_overlap(chunks: Column, overlap: int) -> Column:
-    """Each chunk after the first with the last ``overlap`` characters of the emitted one before in front of it."""
+    """Each chunk after the first with the last ``overlap`` characters of the emitted one before in front of it.
+
+    Those are the last characters of all chunks before it: of the one before, or where that is shorter of as many as it takes.
+    """
     if not overlap:
         return chunks
-    return F.aggregate(chunks, F.expr("cast(array() as array<string>)"), lambda done, c: F.concat(done, F.array(F.when(F.size(done) == 0, c).otherwise(F.concat(F.right(F.element_at(done, -1), F.lit(overlap)), c)))))
 
+    def tail(c: Column, i: Column) -> Column:
+        before = F.get(c, i - 1)
+        several = F.array_join(F.slice(c, F.greatest(F.lit(1), i + 1 - overlap), F.least(i, F.lit(overlap))), "")
+        return F.right(F.when(F.length(before) >= overlap, before).otherwise(several), F.lit(overlap))
 
-def pack_sentences(text: Column, size: int) -> Column:
-    """Sentences packed greedily: one joins the chunk while both and the blank between fit ``size``; a longer one stays whole."""
-    first = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("cur"))
+    return let(chunks, lambda c: F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(F.concat(tail(c, i), x))))
+
+
+def pack_parts(parts: Column, size: int, between: str = " ") -> Column:
+    """Texts packed greedily: one joins the chunk while both and what stands between fit ``size``; a longer one stays whole.
+    Empty ones drop out."""
+    # the open chunk is kept as numbers (where it begins, its length): texts are joined once, when it is closed
+    first = F.struct(F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("done"), F.lit(1).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("length"))
+    known = F.filter(parts, lambda x: x != "")
+
+    def add(state: Column, n: Column) -> Column:
+        joined = F.when(state["length"] == 0, n).otherwise(state["length"] + len(between) + n)
+        fits = (state["length"] == 0) | (state["length"] + len(between) + n <= size)
+        closed = F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), state["last"].alias("last"))))
+        return F.struct(F.when(fits, state["done"]).otherwise(closed).alias("done"), F.when(fits, state["first"]).otherwise(state["last"] + 1).alias("first"), (state["last"] + 1).alias("last"), F.when(fits, joined).otherwise(n).alias("length"))
+
+    def spans(p: Column) -> Column:
+        close = lambda s: F.when(s["length"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
+        return F.aggregate(F.transform(p, F.length), first, add, close)
+
+    return let(known, lambda p: F.transform(spans(p), lambda r: F.array_join(F.slice(p, r["first"], r["last"] - r["first"] + 1), between)))
 
-    def add(state: Column, s: Column) -> Column:
-        fits = F.length(state["cur"]) + F.length(s) + 1 <= size
-        joined = F.when(state["cur"] == "", s).otherwise(F.concat(state["cur"], F.lit(" "), s))
-        flushed = F.when(state["cur"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["cur"])))
-        return F.struct(F.when(fits, state["out"]).otherwise(flushed).alias("out"), F.when(fits, joined).otherwise(s).alias("cur"))
 
-    return F.aggregate(T.sentences(text), first, add, lambda state: F.when(state["cur"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["cur"]))))
+def pack_sentences(text: Column, size: int) -> Column:
+    """Sentences packed greedily into chunks of at most ``size`` characters; a longer sentence stays whole."""
+    return pack_parts(T.sentences(text), size)
 
 
 def markdown_sections(text: Column) -> Column:
@@ -76,10 +106,61 @@ def markdown_sections(text: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.nullif(F.regexp_extract(x, r"(?d)^(#+ .+)(?:\n|$)", 1), F.lit("")).alias("heading"), x.alias("text")))
 
 
+@F.pandas_udf(S.StringType())
+def pretty_json(texts: pd.Series) -> pd.Series:
+    """JSON with indents of two; what is no JSON as it is."""
+
+    def pretty(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+        except ValueError:
+            return t
+
+    return texts.map(pretty)
+
+
+@F.pandas_udf(S.ArrayType(S.ArrayType(S.StructType([S.StructField("text", S.StringType()), S.StructField("tag", S.StringType())]))))
+def xml_paragraphs(texts: pd.Series) -> pd.Series:
+    """Of each text that is well-formed XML, the elements of PARAGRAPH_TAGS in order of the document with all text in them
+    (one inside another counts in both); null for other texts and where no element has any."""
+
+    def of(t: str | None) -> list[dict[str, str]] | None:
+        try:
+            root = ET.fromstring(t.strip()) if t and t.lstrip().startswith("<") else None
+        except (ET.ParseError, ValueError):
+            root = None
+        named = [(e, str(e.tag).lower()) for e in root.iter()] if root is not None else []
+        found = [{"text": text, "tag": tag} for e, tag in named if tag in PARAGRAPH_TAGS and (text := "".join(e.itertext()).strip())]
+        return found or None
+
+    return texts.map(lambda own: None if own is None else [of(t) for t in own])
+
+
 def json_sections(text: Column) -> Column:
-    """Blocks of a JSON text; null where the text is none. Blocks are parted by blank lines, so mostly there is one."""
-    looks = T.strip(text).rlike(r"^[{\[]") & F.try_parse_json(text).isNotNull()
-    return F.when(looks, F.filter(F.split(text, r"\n\n"), lambda x: x != ""))
+    """Blocks of a JSON text, pretty; null where the text doesn't begin like one. Blocks are parted by blank lines, so mostly
+    there is one; what is no JSON after all is one block as it is."""
+    bare = T.strip(text)
+    looks = bare.rlike(r"^[{\[]")
+    return F.when(looks, F.filter(F.split(pretty_json(F.when(looks, bare)), r"\n\n"), lambda x: T.strip(x) != ""))
+
+
+def html_sections(text: Column) -> Column:
+    """Array of struct<heading, text>: a heading element with what follows it up to the next element, a block element by itself
+    with the first heading in it, and what stands between as sections without a heading."""
+    either = rf"(?is){_HEADING}|{_BLOCK}"
+    section = lambda heading, body: F.struct(heading.cast("string").alias("heading"), body.alias("text"))
+    elements = F.struct(F.regexp_extract_all(text, F.lit(either), F.lit(0)).alias("elements"), F.split(text, either, -1).alias("gaps"))
+
+    def around(p: Column) -> Column:
+        def one(element: Column, i: Column) -> Column:
+            gap = F.get(p["gaps"], i + 1)
+            inner = F.regexp_extract(element, rf"(?is){_HEADING}", 0)
+            heading = F.nullif(T.sanitize(inner, True), F.lit(""))
+            return F.when(element.rlike("(?i)^<h"), F.array(section(heading, F.concat(element, gap)))).otherwise(F.array(section(heading, element), section(F.lit(None), gap)))
+
+        return F.concat(F.array(section(F.lit(None), F.get(p["gaps"], F.lit(0)))), F.flatten(F.transform(p["elements"], one)))
+
+    return F.filter(let(elements, around), lambda s: T.strip(s["text"]) != "")
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
@@ -91,6 +172,7 @@ def explode_chunks(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
 def length_chunks(df: DataFrame, text_col: str, size: int = 1000, overlap: int = 100, unit: str = "token", keep: tuple[str, ...] = ()) -> DataFrame:
     """Windows over the sanitised text, in words or characters."""
     clean = T.sanitize(F.col(text_col), remove_tags=True)
+    df = spread(df)
     return explode_chunks(df, token_windows(clean, size, overlap) if unit == "token" else char_windows(clean, size, overlap), *keep)
 
 
@@ -105,149 +187,94 @@ def window_count(n: Column, size: Column, overlap: Column) -> Column:
     return F.when(n <= 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.greatest(F.lit(1), size - overlap))).cast("int")
 
 
-# --- what needs an XML tree, positions of markup, or several passes over one text ---------------------------------
+# --- chunks by structure ---------------------------------------------------------------------------------------------
 
 
-def sanitize_text(text: str, remove_tags: bool = False) -> str:
-    text = re.sub(r"\r\n?", "\n", text)
-    if remove_tags:
-        text = re.sub(r"<[^>]+>", " ", text)
-    for pattern, new in ((r"\n\s+", "\n"), (r"[\t ]+", " "), (r"\n{3,}", "\n\n")):
-        text = re.sub(pattern, new, text)
-    return text.strip()
+def _cut_down(text: Column, size: int, overlap: int) -> Column:
+    """A text over ``size`` and ``overlap`` together packed by sentence again, and what is still over cut by characters."""
+    small = lambda t: F.length(t) <= size + overlap
+    again = lambda t: F.flatten(F.transform(pack_sentences(t, size), lambda x: F.when(small(x), F.array(x)).otherwise(char_windows(x, size, overlap))))
+    return F.when(small(text), F.array(text)).otherwise(again(text))
 
 
-def _packed(text: str, size: int) -> list[str]:
-    out, cur = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        if len(cur) + len(s) + 1 <= size:
-            cur = f"{cur} {s}" if cur else s
-        else:
-            if cur:
-                out.append(cur)
-            cur = s
-    return [*out, cur] if cur else out
+def _finished(chunks: Column, overlap: int) -> Column:
+    """Chunks of struct<text, ...> without tags and blanks, empty ones left out, with overlaps."""
+    fields = lambda c, text: c.withField("text", text)
+    clean = F.filter(F.transform(chunks, lambda c: fields(c, T.sanitize(c["text"], True))), lambda c: c["text"] != "")
+    return let(clean, lambda c: F.zip_with(c, with_overlap(F.transform(c, lambda x: x["text"]), overlap), fields))
 
 
-def _windows(text: str, size: int, overlap: int) -> list[str]:
-    step, out, at = max(1, size - overlap), [], 0
-    while True:
-        out.append(text[at : at + size])
-        if at + size >= len(text):
-            return out
-        at += step
+def paragraph_chunks(text: Column, of_xml: Column, size: int, overlap: int) -> Column:
+    """Array of struct<text, tag>: paragraphs (``of_xml``, or the text's own parted by blank lines), those over ``size`` packed by
+    sentence, and short ones joined while they fit and their elements have one name."""
+    own = F.transform(F.split(T.sanitize(text, True), rf"\n{T._WS}*\n"), lambda p: F.struct(T.strip(p).alias("text"), F.lit("paragraph").alias("tag")))
+    clean = F.transform(F.coalesce(of_xml, own), lambda p: p.withField("text", T.sanitize(p["text"], True)))
+    # a long paragraph's packs may be joined by what follows, but don't join what is before them
+    parts = F.flatten(F.transform(clean, lambda p: F.transform(F.when(F.length(p["text"]) > size, pack_sentences(p["text"], size)).otherwise(F.array(p["text"])), lambda t: F.struct(t.alias("text"), p["tag"].alias("tag"), (F.length(p["text"]) <= size).alias("joins")))))
+    known = F.filter(parts, lambda p: p["text"] != "")
+    first = F.struct(F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("done"), F.lit(1).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("length"), F.lit("").alias("tag"))
+    span = lambda s: F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
+    def add(s: Column, p: Column) -> Column:
+        n = F.length(p["text"])
+        joins = (s["last"] > 0) & p["joins"] & (s["tag"] == p["tag"]) & (s["length"] + n + 2 <= size)
+        done = F.when(joins | (s["last"] == 0), s["done"]).otherwise(F.concat(s["done"], span(s)))
+        return F.struct(done.alias("done"), F.when(joins, s["first"]).otherwise(s["last"] + 1).alias("first"), (s["last"] + 1).alias("last"), F.when(joins, s["length"] + 2 + n).otherwise(n).alias("length"), p["tag"].alias("tag"))
 
-def _overlapped(chunks: list[Chunk], overlap: int) -> list[Chunk]:
-    out: list[Chunk] = []
-    for c in chunks:
-        out.append(Chunk(out[-1].text[-overlap:] + c.text, c.metadata) if out and overlap else c)
-    return out
+    spans = lambda k: F.aggregate(k, first, add, lambda s: F.when(s["last"] == 0, s["done"]).otherwise(F.concat(s["done"], span(s))))
+    joined = lambda k: F.transform(spans(k), lambda r: F.struct(F.array_join(F.transform(F.slice(k, r["first"], r["last"] - r["first"] + 1), lambda p: p["text"]), "\n\n").alias("text"), F.get(k, r["first"] - 1)["tag"].alias("tag")))
+    cut = F.flatten(F.transform(let(known, joined), lambda c: F.transform(_cut_down(c["text"], size, overlap), lambda t: F.struct(t.alias("text"), c["tag"].alias("tag")))))
+    return _finished(cut, overlap)
 
 
-@dataclass
-class Chunk:
-    text: str
-    metadata: dict[str, str]
+def _of_type(kind: str, sections: Column) -> Column:
+    """Array of struct<type, heading, text, clean>; sections without text drop out."""
+    made = F.transform(sections, lambda s: F.struct(F.lit(kind).alias("type"), s["heading"].cast("string").alias("heading"), s["text"].alias("text"), T.sanitize(s["text"], True).alias("clean")))
+    return F.filter(made, lambda s: s["clean"] != "")
 
 
-def _paragraphs(text: str) -> list[tuple[str, str | None]]:
-    if text.lstrip().startswith("<"):
-        try:
-            root = ET.fromstring(text)
-        except (ET.ParseError, ValueError):
-            root = None
-        if root is not None:
-            found = [(sanitize_text("".join(e.itertext())), e.tag) for e in root.iter() if e.tag in PARAGRAPH_TAGS]
-            found = [(t, tag) for t, tag in found if t]
-            if found:
-                return found
-    return [(p.strip(), None) for p in re.split(r"\n\s*\n", sanitize_text(text)) if p.strip()]
-
-
-def _cut_down(chunks: list[Chunk], size: int, overlap: int) -> list[Chunk]:
-    """Chunks over size and overlap together are packed by sentence again, and if that is not enough cut by characters."""
-    out: list[Chunk] = []
-    for c in chunks:
-        if len(c.text) <= size + overlap:
-            out.append(c)
-            continue
-        for part in _packed(c.text, size):
-            out += [Chunk(w, c.metadata) for w in (_windows(part, size, overlap) if len(part) > size + overlap else [part])]
-    return out
-
-
-def text_structure(text: str, size: int, overlap: int) -> list[Chunk]:
-    """Paragraphs (those of XML elements, else by blank lines), long ones by sentence, short ones merged within their element."""
-    merged: list[Chunk] = []
-    for paragraph, tag in _paragraphs(text):
-        meta = {"source_tag": tag} if tag else {}
-        if len(paragraph) > size:
-            merged += [Chunk(s, dict(meta)) for s in _packed(paragraph, size)]
-        elif merged and len(merged[-1].text) + len(paragraph) + 2 <= size and merged[-1].metadata.get("source_tag") == tag:
-            merged[-1].text += "\n\n" + paragraph
-        else:
-            merged.append(Chunk(paragraph, dict(meta)))
-    clean = [Chunk(sanitize_text(c.text), c.metadata) for c in _cut_down(merged, size, overlap)]
-    return _overlapped([c for c in clean if c.text], overlap)
-
-
-def _sections(text: str) -> list[Chunk]:
-    bare = text.strip()
-    if bare[:1] in ("{", "["):
-        try:
-            pretty = json.dumps(json.loads(bare), indent=2, ensure_ascii=False)
-        except ValueError:
-            return [Chunk(text, {"section_type": "json"})]
-        return [Chunk(b, {"section_type": "json"}) for b in pretty.split("\n\n") if b.strip()]
-    found = list(re.finditer(rf"<h[1-6][^>]*>.*?</h[1-6]>|<(?:{_BLOCK})\b[^>]*>.*?</(?:{_BLOCK})>", text, re.S | re.I))
-    if found:
-        out, done = [], 0
-        for k, m in enumerate(found):
-            if text[done : m.start()].strip():
-                out.append(Chunk(text[done : m.start()], {"section_type": "html"}))
-            is_heading = bool(re.match(r"<h[1-6]", m.group(), re.I))
-            end = (found[k + 1].start() if k + 1 < len(found) else len(text)) if is_heading else m.end()
-            inner = m.group() if is_heading else (re.search(r"<h[1-6][^>]*>.*?</h[1-6]>", m.group(), re.S | re.I) or [""])[0]
-            heading = sanitize_text(inner, True)
-            out.append(Chunk(text[m.start() : end], {"section_type": "html"} | ({"section_heading": heading} if heading else {})))
-            done = end
-        if text[done:].strip():
-            out.append(Chunk(text[done:], {"section_type": "html"}))
-        return out
-    out = []
-    for part in re.split(r"(?m)(?=^#+ .+$)", text):
-        if part.strip():
-            m = re.match(r"#+ (.+)", part)
-            out.append(Chunk(part, {"section_type": "markdown"} | ({"section_heading": m.group(1).strip()} if m else {})))
-    return out
-
-
-def structure(text: str, size: int, overlap: int) -> list[Chunk]:
-    """Sections by JSON, HTML or markdown structure; a section over ``size`` goes through ``text_structure`` with its metadata."""
-    chunks: list[Chunk] = []
-    for section in _sections(text):
-        if len(section.text) <= size:
-            chunks.append(section)
-        else:
-            chunks += [Chunk(c.text, section.metadata | c.metadata) for c in text_structure(section.text, size, overlap)]
-    clean = [Chunk(sanitize_text(c.text), c.metadata) for c in _cut_down(chunks, size, overlap)]
-    return _overlapped([c for c in clean if c.text], overlap)
-
-
-CHUNKERS = {"TextStructureChunker": text_structure, "StructureChunker": structure}
+def _json_parts(text: Column) -> Column:
+    return _of_type("json", F.transform(json_sections(text), lambda t: F.struct(F.lit(None).alias("heading"), t.alias("text"))))
 
 
-def structured_chunks(df: DataFrame, id_col: str, text_col: str, chunker: str = "StructureChunker", size: int = 1000, overlap: int = 100) -> DataFrame:
-    """``id_col``, ``chunk_index``, ``text``, ``metadata`` by one of the CHUNKERS, in Arrow batches; null texts have no chunks."""
-    check_sizes(size, overlap)
-    make = CHUNKERS[chunker]
-    kind = df.schema[id_col].dataType.simpleString()
+def _headed_parts(text: Column) -> Column:
+    """Sections of markup (what begins with ``<``) or markdown."""
+    bare = T.strip(text)
+    headed = lambda s: F.nullif(T.sanitize(F.regexp_replace(s["heading"], "^#+", ""), True), F.lit(""))
+    return F.when(bare.startswith("<"), _of_type("html", html_sections(bare))).otherwise(_of_type("markdown", F.transform(markdown_sections(bare), lambda s: s.withField("heading", headed(s)))))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, k, c.text, list(c.metadata.items())) for i, t in enumerate(batch.column(1).to_pylist()) for k, c in enumerate(make(t, size, overlap))]
-            take = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.map_(pa.string(), pa.string()))], names=[id_col, "chunk_index", "text", "metadata"])
+def structured_chunks(df: DataFrame, id_col: str, text_col: str, chunker: str = "StructureChunker", size: int = 1000, overlap: int = 100) -> DataFrame:
+    """``id_col``, ``chunk_index``, ``text``, ``metadata`` of chunks that keep to the text's structure; null texts have none.
 
-    return df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index int, text string, metadata map<string,string>")
+    ``TextStructureChunker`` goes by paragraphs (metadata ``source_tag``). ``StructureChunker`` goes by sections (metadata
+    ``section_type``, ``section_heading``); one over ``size`` goes by its paragraphs, with the metadata of both. Chunks hold no
+    tags; sizes are characters, and a chunk has at most ``size`` and ``overlap`` besides the overlaps put in front of it. Rows
+    equal in id are chunked each.
+    """
+    check_sizes(size, overlap)
+    if chunker not in ("TextStructureChunker", "StructureChunker"):
+        raise ValueError(f"no such chunker: {chunker}")
+    by_section = chunker == "StructureChunker"
+    rows = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    is_json = T.strip(F.col("text")).rlike(r"^[{\[]") if by_section else F.lit(False)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.col("text").alias("text")))
+    # two columns and two Arrow functions that don't feed each other
+    parted = rows.select("id", "text", F.when(~is_json, _headed_parts(F.col("text")) if by_section else _of_type("", whole)).alias("headed"))
+    small = lambda s: (F.length(s["clean"]) <= size) if by_section else F.lit(False)
+    markup = F.transform("headed", lambda s: F.when(~small(s) & F.ltrim(s["text"]).startswith("<"), s["text"]))
+    with_trees = parted.withColumn("xml", xml_paragraphs(F.when(F.exists(markup, lambda t: t.isNotNull()), markup)))
+    trees = with_trees.withColumn("sections", F.when(is_json, _json_parts(F.col("text"))).otherwise(F.col("headed")) if by_section else F.col("headed"))
+    # beside the sections and not asked for inside the lambda, where no Arrow function can be called
+    paired = F.zip_with("sections", F.coalesce("xml", F.expr("cast(array() as array<array<struct<text:string,tag:string>>>)")), lambda s, x: s.withField("xml", x))
+
+    def of_section(s: Column) -> Column:
+        named = lambda text, tag: F.struct(text.alias("text"), F.nullif(s["type"], F.lit("")).alias("section_type"), s["heading"].alias("section_heading"), tag.cast("string").alias("source_tag"))
+        long = F.flatten(F.transform(paragraph_chunks(s["text"], s["xml"], size, overlap), lambda c: F.transform(_cut_down(c["text"], size, overlap) if by_section else F.array(c["text"]), lambda t: named(t, c["tag"]))))
+        return F.when(small(s), F.array(named(s["clean"], F.lit(None)))).otherwise(long)
+
+    every = F.flatten(F.transform(paired, of_section))
+    chunks = _finished(every, overlap) if by_section else every
+    given = lambda k: F.when(F.col(f"c.{k}").isNotNull(), F.struct(F.lit(k).alias("key"), F.col(f"c.{k}").alias("value")))
+    metadata = F.map_from_entries(F.array_compact(F.array(*map(given, ("section_type", "section_heading", "source_tag")))))
+    return trees.select("id", F.posexplode(chunks).alias("chunk_index", "c")).select(F.col("id").alias(id_col), "chunk_index", "c.text", metadata.alias("metadata"))
