@@ -79,7 +79,7 @@ def align_logprobs(tokens: Column, logprobs: Column, cleaned: Column) -> Column:
     start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<token:string,logprob:double>>)").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
-        found = F.locate_in(cleaned, x["token"], s["at"]) if hasattr(F, "locate_in") else F.position(x["token"], cleaned, s["at"])
+        found = F.position(x["token"], cleaned, s["at"])
         hit = (found > 0) & (x["token"] != "")
         return F.struct(F.when(hit, found + F.length(x["token"])).otherwise(s["at"]).alias("at"), F.when(hit, F.concat(s["kept"], F.array(F.struct(x["token"].alias("token"), x["logprob"].alias("logprob"))))).otherwise(s["kept"]).alias("kept"))
 

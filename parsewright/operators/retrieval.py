@@ -13,6 +13,8 @@ from parsewright.functions import text as T
 
 #: Bytes of query vectors that one pass over the store carries to the workers; more queries take more passes.
 BLOCK_BYTES = 64 << 20
+#: Products that a task holds at a time, queries times rows.
+TILE = 4 << 20
 
 
 def embed_checksum(df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
@@ -36,24 +38,41 @@ def embed_with(df: DataFrame, text_col: str, make_model: Callable[[], Callable[[
     return df.mapInArrow(run, schema)
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-
-
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double; 0 for a zero vector."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return dot / (norm(a) * norm(b) + 1e-10)
+    """Cosine in double of two array columns; 0 for a zero vector. For single pairs; ``top_k`` is for many."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-10)
+
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows of a matrix, taken from the flat values."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+
+
+def _best(scores: np.ndarray, ranks: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k best scores, in any order; of equal scores those with the smaller rank."""
+    n, width = scores.shape
+    if width <= k:
+        return np.tile(np.arange(width), (n, 1))
+    out = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(scores, out, 1).min(1)
+    # where scores equal to the least one are left out, the ranks decide
+    for r in np.flatnonzero((scores >= least[:, None]).sum(1) > k):
+        out[r] = np.lexsort((ranks[r], -scores[r]))[:k]
+    return out
 
 
 def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id_col: str = "query_id", digits: int = 9) -> DataFrame:
     """Exact cosine top-k of each query over the whole store: query id, ``rank`` from 1, id, ``score``.
 
-    Each task multiplies its rows with a block of query vectors and keeps k rows a query, so that what is
-    shuffled is tasks times queries times k, not the products. Ties go to the smaller id; scores are
-    compared at ``digits`` decimals. Vectors that are null are left out; zero vectors score 0.
+    Each task multiplies its rows with a block of query vectors, TILE products at a time, and keeps k rows a query, so that what
+    is shuffled is tasks times queries times k, not the products. A block of BLOCK_BYTES is fetched and sent out before the
+    next one, and each reads the store once. Ties go to the smaller id; scores are compared at ``digits`` decimals. Vectors
+    that are null are left out; zero vectors score 0. All vectors have one width.
     """
-    # norms are summed up front; the queries' vectors are the stated query set
+    # the queries' vectors are the stated query set
     wanted = queries.where(F.col(vector_col).isNotNull()).select(F.col(query_id_col).alias("query_id"), F.col(vector_col).alias("vector"))
     n, width = wanted.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
@@ -63,30 +82,49 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else wanted
         table = block.toArrow()
-        shared = store.sparkSession.sparkContext.broadcast((table.column("query_id").to_pylist(), [list(v) for v in table.column("vector").to_pylist()]))
+        if not table.num_rows and blocks > 1:
+            continue
+        shared = store.sparkSession.sparkContext.broadcast((table.column("query_id").combine_chunks(), _matrix(table.column("vector"))))
+        del table
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            if not ids:
+            ids, q = shared.value
+            if not len(ids):
                 return
-            q = np.asarray(vectors, np.float64)
             qn = np.sqrt((q * q).sum(1))
-            keep_scores = np.full((len(ids), 0), 0.0)
-            keep_ids = None
+            kept_scores, kept_rows = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            known: list = []  # ids of the rows that are kept, by number
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.asarray(batch.column("vector").to_pylist(), np.float64)
-                s = np.round(q @ v.T / (qn[:, None] * np.sqrt((v * v).sum(1))[None, :] + 1e-10), digits)
-                own = np.tile(np.array(batch.column("id").to_pylist()), (len(ids), 1))
-                keep_scores = np.hstack([keep_scores, s])
-                keep_ids = own if keep_ids is None else np.hstack([keep_ids, own])
-                if keep_scores.shape[1] > k:
-                    order = np.array([np.lexsort((keep_ids[r], -keep_scores[r]))[:k] for r in range(len(ids))])
-                    keep_scores, keep_ids = np.take_along_axis(keep_scores, order, 1), np.take_along_axis(keep_ids, order, 1)
-            width = keep_scores.shape[1]
-            if width:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(width)]), pa.array(keep_ids.ravel().tolist()), pa.array(keep_scores.ravel())], names=["query_id", "id", "score"])
+                v = _matrix(batch.column("vector"))
+                vn = np.sqrt((v * v).sum(1))
+                own = batch.column("id").to_pylist()
+                first = len(known)
+                known += own
+                place = {x: i for i, x in enumerate(sorted(set(known)))}
+                rank = np.array([place[x] for x in known], np.int64)
+                step = max(1, TILE // (len(own) + kept_scores.shape[1]))
+                scores_out, rows_out = [], []
+                numbers = np.arange(first, first + len(own))
+                for at in range(0, len(ids), step):
+                    part = slice(at, at + step)
+                    s = np.hstack([kept_scores[part], np.round(q[part] @ v.T / (qn[part, None] * vn[None, :] + 1e-10), digits)])
+                    r = np.hstack([kept_rows[part], np.broadcast_to(numbers, (len(s), len(own)))])
+                    best = _best(s, rank[r], k)
+                    scores_out.append(np.take_along_axis(s, best, 1))
+                    rows_out.append(np.take_along_axis(r, best, 1))
+                kept_scores, kept_rows = np.vstack(scores_out), np.vstack(rows_out)
+                # rows that no query keeps are forgotten
+                still, numbered = np.unique(kept_rows, return_inverse=True)
+                known = [known[i] for i in still]
+                kept_rows = numbered.reshape(kept_rows.shape)
+            if kept_scores.shape[1]:
+                per = kept_scores.shape[1]
+                of = pa.array(known)
+                for at in range(0, len(ids), max(1, 100_000 // per)):
+                    part = slice(at, at + max(1, 100_000 // per))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids))[part], per))), of.take(pa.array(kept_rows[part].ravel())), pa.array(kept_scores[part].ravel())], names=["query_id", "id", "score"])
 
         parts.append(rows.mapInArrow(run, f"query_id {kinds['query']}, id {kinds['id']}, score double"))
     found = parts[0]

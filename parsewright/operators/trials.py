@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parsewright.functions import text as T
+from parsewright.session import cut_lineage
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -42,11 +43,18 @@ def allowed(df: DataFrame, allow_list: DataFrame, key: str) -> DataFrame:
 
 
 def assign_ids(existing: DataFrame, names: DataFrame, name: str = "doc_name", number: str = "doc_number") -> DataFrame:
-    """Stable numbers: known names keep theirs, new ones go on in order of their names. Over distinct names of documents
-    the window has one partition; it holds names alone."""
+    """Stable numbers: known names keep theirs, new ones go on in order of their names.
+
+    New names are parted into ranges in order; each range's names are ranked by themselves and moved on by the counts of the
+    ranges before it, so no task holds all names.
+    """
     last = existing.agg(F.coalesce(F.max(number), F.lit(-1)).alias("last"))
     new = names.select(name).distinct().join(existing, name, "left_anti")
-    numbered = new.crossJoin(F.broadcast(last)).select(name, (F.col("last") + F.row_number().over(Window.orderBy(name))).cast("bigint").alias(number))
+    # written once: ranges are drawn by a sample, which must not change between the counts and the ranks
+    ranged = cut_lineage(new.repartitionByRange(name).sortWithinPartitions(name).withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    ranked = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(name)))
+    numbered = ranked.join(F.broadcast(before), "_range").crossJoin(F.broadcast(last)).select(name, (F.col("last") + F.col("_before") + F.col("_place")).cast("bigint").alias(number))
     return existing.select(name, F.col(number).cast("bigint").alias(number)).unionByName(numbered)
 
 

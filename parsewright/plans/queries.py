@@ -14,7 +14,7 @@ from parsewright.operators import evaluation as E
 from parsewright.operators import generation as G
 from parsewright.operators import retrieval as R
 from parsewright.operators import trials as S
-from parsewright.session import read_table
+from parsewright.session import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,7 +71,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT doc_id, md5({_sql_sanitize('text', True)}) AS digest, CAST(length({_sql_sanitize('text', True)}) AS INTEGER) AS n_chars_clean FROM documents WHERE text IS NOT NULL")
 def sanitize_documents(spark: SparkSession, d: str) -> DataFrame:
-    clean = read_table(spark, d, "documents").where("text is not null").select("doc_id", T.sanitize(F.col("text"), True).alias("clean"))
+    clean = spread(read_table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", T.sanitize(F.col("text"), True).alias("clean"))
     return clean.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("n_chars_clean"))
 
 
@@ -142,9 +142,14 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("doc_id", F.size("parts").alias("n_sentences"), F.md5(F.array_join("parts", "\x02")).alias("digest"))
 
 
-@_query()
+@_query(rf"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace({_sql_sanitize('text', False)}, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, parts, 1 AS i, parts[1] AS cur, 0 AS chunk_index FROM s WHERE len(parts) > 0
+  UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 1000 THEN cur || ' ' || parts[i + 1] ELSE parts[i + 1] END, chunk_index + CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 1000 THEN 0 ELSE 1 END FROM r WHERE i < len(parts))
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, arg_max(cur, i) AS text FROM r GROUP BY doc_id, chunk_index
+""")
 def sentence_pack(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").where("text is not null")
+    docs = spread(read_table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     return K.explode_chunks(docs, K.pack_sentences(T.sanitize(F.col("text")), 1000), "doc_id")
 
 
@@ -200,7 +205,7 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
 # a made-up score that both engines compute alike: bits of a digest of chunk and question
 _SCORED_SQL = f"""
 scored AS (SELECT c.doc_name, q.query_id, c.chunk_id, c.text, len({_sql_tokens('c.text')}) AS n_tokens, (ascii(md5(c.chunk_id || ':' || q.query_id)) * 16 + ascii(substring(md5(c.chunk_id || ':' || q.query_id), 2, 1))) / 2000.0 AS score
-  FROM chunks c, queries q WHERE c.text IS NOT NULL AND q.type = 'numeric')"""
+  FROM chunks c, queries q WHERE c.text IS NOT NULL)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -422,10 +427,10 @@ _RULES = [("2.6", "4.1", "3"), ("4.2", "1.3", "2"), ("4.2", "2.6", "1"), ("5.3",
 
 @_query(f"""
 WITH rules(query_id, depends_on, blocked) AS (VALUES {", ".join(str(r) for r in _RULES)}),
-l AS (SELECT doc_name, query_id, arg_max(pred_indicator, result_id) AS values FROM results WHERE type = 'single_choice' AND doc_name IS NOT NULL GROUP BY ALL),
-p AS (SELECT d.doc_name, r.* FROM (SELECT DISTINCT doc_name FROM l) d, rules r),
-h AS (SELECT p.doc_name, p.query_id, l.query_id IS NOT NULL AS there, len(list_filter(coalesce(l.values, []), lambda v: NOT coalesce({_sql_plain('v')} = {_sql_plain('p.blocked')}, false))) = 0 AS all_blocked FROM p LEFT JOIN l ON l.doc_name = p.doc_name AND l.query_id = p.depends_on)
-SELECT doc_name, query_id, bool_and(there) AS ready, NOT bool_or(there AND all_blocked) AS applicable FROM h GROUP BY ALL
+l AS (SELECT trial_id, doc_name, query_id, arg_max(pred_indicator, result_id) AS values FROM results WHERE type = 'single_choice' AND doc_name IS NOT NULL GROUP BY ALL),
+p AS (SELECT d.trial_id, d.doc_name, r.* FROM (SELECT DISTINCT trial_id, doc_name FROM l) d, rules r),
+h AS (SELECT p.trial_id, p.doc_name, p.query_id, l.query_id IS NOT NULL AS there, len(list_filter(coalesce(l.values, []), lambda v: NOT coalesce({_sql_plain('v')} = {_sql_plain('p.blocked')}, false))) = 0 AS all_blocked FROM p LEFT JOIN l ON l.trial_id = p.trial_id AND l.doc_name = p.doc_name AND l.query_id = p.depends_on)
+SELECT trial_id, doc_name, query_id, bool_and(there) AS ready, NOT bool_or(there AND all_blocked) AS applicable FROM h GROUP BY ALL
 """)
 def dependency_applicability(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(_RULES, "query_id string, depends_on string, blocked string")
@@ -461,7 +466,8 @@ def trial_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""
-SELECT w.doc_name, q.query_id FROM outcomes w, queries q WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.trial_id = 1 AND r.doc_name = w.doc_name AND r.query_id = q.query_id)
+SELECT t.trial_id, w.doc_name, q.query_id FROM trials t, outcomes w, queries q
+WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.trial_id = t.trial_id AND r.doc_name = w.doc_name AND r.query_id = q.query_id)
 """)
 def resume_not_done(spark: SparkSession, d: str) -> DataFrame:
     # trials, outcomes and questions are small beside the results; their product isn't, so questions are added after the join
@@ -517,14 +523,20 @@ def accuracy_cube(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "trials").cube("parser", "mode").agg(F.round(F.avg("overall_average_accuracy"), 6).alias("mean_accuracy"), F.count("*").alias("n"))
 
 
+_PARSED_SQL = """parsed AS (SELECT doc_name, parser, content FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_name, parser ORDER BY content IS NOT NULL DESC, parsed_at DESC NULLS LAST, parse_id DESC) AS place FROM parsed_docs) WHERE place = 1)"""
+_STUB_SQL = "substring(translate(upper(md5({0})), '0123456789', 'GHIJKLMNOP'), 1, 1)"
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     """The newest content of each document by each parser; a null one only where there is no other."""
     docs = read_table(spark, d, "parsed_docs").select("doc_name", "parser", F.col("content").isNotNull().alias("there"), "parsed_at", "parse_id", "content")
     return C.newest_by(docs, ("doc_name", "parser"), ("there", "parsed_at", "parse_id")).select("doc_name", "parser", "content")
 
 
-@_query("""
-SELECT o.doc_name, q.query_id, substring(translate(upper(md5(replace(q.prompts.base_prompt, '{context}', o.doc_name))), '0123456789', 'GHIJKLMNOP'), 1, 1) AS raw_output FROM outcomes o, queries q WHERE q.prompts.base_prompt IS NOT NULL
+@_query(f"""
+WITH {_PARSED_SQL}, p AS (SELECT doc_name, parser, query_id, replace(prompts.base_prompt, '{{context}}', coalesce(content, '')) AS prompt FROM parsed, queries WHERE prompts.base_prompt IS NOT NULL)
+SELECT doc_name, parser, query_id, {_STUB_SQL.format('prompt')} AS raw_output, md5(prompt) AS digest FROM p
 """)
 def full_inference(spark: SparkSession, d: str) -> DataFrame:
     questions = read_table(spark, d, "queries").select("query_id", F.col("prompts.base_prompt").alias("base"))
@@ -532,10 +544,10 @@ def full_inference(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("doc_name", "parser", "query_id", G.stub_answer(F.col("prompt")).alias("raw_output"), F.md5("prompt").alias("digest"))
 
 
-@_query("""
-WITH a AS (SELECT query_id, choices, prompts.binary_prompts AS b, unnest(prompts.binary_prompts) AS p, generate_subscripts(prompts.binary_prompts, 1) AS i FROM queries WHERE len(prompts.binary_prompts) > 0),
-s AS (SELECT query_id, i, choices[i].key AS key, substring(translate(upper(md5(p)), '0123456789', 'GHIJKLMNOP'), 1, 1) IN ('A', 'B', 'C', 'D', 'G', 'H') AS yes FROM a)
-SELECT query_id, coalesce(string_agg(key, ',' ORDER BY i) FILTER (WHERE yes), 'Z') AS raw_output FROM s GROUP BY ALL
+@_query(f"""
+WITH {_PARSED_SQL}, a AS (SELECT query_id, choices, unnest(prompts.binary_prompts) AS p, generate_subscripts(prompts.binary_prompts, 1) AS i FROM queries WHERE len(prompts.binary_prompts) > 0),
+s AS (SELECT doc_name, parser, query_id, i, choices[i].key AS key, {_STUB_SQL.format("replace(p, '{context}', coalesce(content, ''))")} IN ('A', 'B', 'C', 'D', 'G', 'H') AS yes FROM parsed, a)
+SELECT doc_name, parser, query_id, coalesce(string_agg(key, ',' ORDER BY i) FILTER (WHERE yes), 'Z') AS raw_output FROM s GROUP BY ALL
 """)
 def binary_decomposition(spark: SparkSession, d: str) -> DataFrame:
     asked = read_table(spark, d, "queries").where(F.size("prompts.binary_prompts") > 0).select("query_id", "choices", F.col("prompts.binary_prompts").alias("binary_prompts"))
@@ -560,8 +572,14 @@ def tei_structure(spark: SparkSession, d: str) -> DataFrame:
     return tei_parts(read_table(spark, d, "parsed_docs"))
 
 
-@_query()
+@_query(f"""
+WITH w AS (SELECT doc_id, {_sql_tokens(_sql_sanitize('text', True))} AS words FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, words, unnest(range(0, CAST(greatest(0, ceil((len(words) - 500) / 450.0)) AS BIGINT) + 1)) AS i FROM w WHERE len(words) > 0),
+c AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(words[i * 450 + 1 : i * 450 + 500], ' ') AS text FROM s)
+SELECT doc_id, chunk_index, md5(text) AS digest, CAST(length(text) AS INTEGER) AS n_chars, CAST(len({_sql_tokens('text')}) AS INTEGER) AS n_words FROM c
+""")
 def incremental_chunks(spark: SparkSession, d: str) -> DataFrame:
     from parsewright.streaming.incremental import chunk_available
 
-    return chunk_available(spark, f"{d}/documents.parquet", "doc_id", "text")
+    chunks = chunk_available(spark, f"{d}/documents.parquet", "doc_id", "text")
+    return chunks.select("doc_id", "chunk_index", F.md5("text").alias("digest"), F.col("embedding")[0].cast("int").alias("n_chars"), F.col("embedding")[1].cast("int").alias("n_words"))

@@ -61,6 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a filtered scan, over all cores if its files have fewer splits than those: for maps that cost far more than
     the shuffle of so small an input. Larger inputs stay where they are."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

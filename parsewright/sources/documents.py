@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsewright.functions import text as T
+from parsewright.operators.chunking import pretty_json
 
 CHUNK_SCHEMA = "array<struct<text:string,metadata:map<string,string>>>"
 QUERY_SCHEMA = "struct<label:string,description:string,description_detailed:string,instructions:string,type:string,choices:array<struct<key:string,value:string,description:string>>,prefilled:array<string>,examples:array<struct<context:string,answer:string>>,prompts:map<string,string>>"
@@ -60,7 +61,7 @@ def parsed_text(value: Column) -> Column:
     """Text of a parsed document: a JSON string as it is, a JSON list joined by blank lines, other JSON pretty, anything else raw."""
     as_list = F.from_json(value, "array<string>")
     kind = F.schema_of_variant(F.try_parse_json(value))
-    return F.when(kind == "STRING", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).when(F.startswith(kind, F.lit("ARRAY")), F.array_join(as_list, "\n\n")).otherwise(value)
+    return F.when(kind == "STRING", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).when(F.startswith(kind, F.lit("ARRAY")), F.array_join(as_list, "\n\n")).when(kind.isNotNull(), pretty_json(F.when(F.startswith(kind, F.lit("OBJECT")), value))).otherwise(value)
 
 
 def parsed_files(spark: SparkSession, folder: str, parser: str) -> DataFrame:
