@@ -4,41 +4,61 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsewright.operators import chunking, generation, retrieval, trials
 from parsewright.registry import CHUNKERS, PARSERS
-from parsewright.session import local_session
+from parsewright.session import cut_lineage, local_session
 from parsewright.sources import documents
 
 
+def _there(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What a folder of Parquet files holds; None if there is nothing yet."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def _left(df: DataFrame, done: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    return df if done is None else trials.not_done(df, done, keys)
+
+
 def parse_docs(spark: SparkSession, a: argparse.Namespace) -> None:
-    parsed = documents.parse(documents.raw_files(spark, a.folder, a.glob), a.parser, PARSERS[a.parser])
+    """Parses the files that the folder of parsed documents doesn't hold for the parser; those it fails on go to ``<out>.errors``."""
+    files = documents.raw_files(spark, a.folder, a.glob).withColumn("parser", F.lit(a.parser))
+    parsed = cut_lineage(documents.parse(_left(files, _there(spark, a.out), ("doc_name", "parser")), a.parser, PARSERS[a.parser]))
     documents.write_parsed(parsed.where("error is null").drop("error"), a.out)
+    parsed.where("error is not null").select("doc_name", "parser", "error", F.current_timestamp().alias("failed_at")).write.mode("append").parquet(f"{a.out.rstrip('/')}.errors")
 
 
 def chunk(spark: SparkSession, a: argparse.Namespace) -> None:
-    docs = spark.read.parquet(a.parsed).select("doc_name", "parser", "content")
+    """Chunks each document by each setting that it isn't chunked by yet."""
+    docs = spark.read.parquet(a.parsed).select("doc_name", "parser", "content").where("content is not null")
     for size in a.size:
         for overlap in (o for o in a.overlap if o < size):
+            setting = {"chunker": F.lit(a.chunker), "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap)}
+            left = _left(docs.withColumns(setting), _there(spark, a.out), ("doc_name", "parser", *setting)).select(*docs.columns)
             if a.chunker == "LengthChunker":
-                chunks = chunking.length_chunks(docs.where("content is not null"), "content", size, overlap, keep=("doc_name", "parser"))
+                chunks = chunking.length_chunks(left, "content", size, overlap, keep=("doc_name", "parser"))
             else:
-                chunks = CHUNKERS[a.chunker](docs.withColumn("id", F.struct("doc_name", "parser")), "content", size, overlap, "id").select("id.*", "chunk_index", "text", "metadata")
-            chunks.withColumns({"chunker": F.lit(a.chunker), "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap)}).write.mode("append").partitionBy("parser", "chunker", "chunk_size", "chunk_overlap").parquet(a.out)
+                chunks = CHUNKERS[a.chunker](left.withColumn("id", F.struct("doc_name", "parser")), "content", size, overlap, "id").select("id.*", "chunk_index", "text", "metadata")
+            chunks.withColumns(setting).write.mode("append").partitionBy("parser", "chunker", "chunk_size", "chunk_overlap").parquet(a.out)
 
 
 def embed(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Embeds the chunks that the vector store doesn't hold; with ``--force`` all, in place of the vectors that it holds of them."""
     keys = ("doc_name", "parser", "chunker", "chunk_size", "chunk_overlap", "chunk_index")
-    chunks = spark.read.parquet(a.chunks)
-    if not a.force:
-        try:
-            chunks = trials.not_done(chunks, spark.read.parquet(a.out), keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-    documents.append_vectors(retrieval.embed_checksum(chunks, "text"), a.out)
+    chunks, store = spark.read.parquet(a.chunks), _there(spark, a.out)
+    if a.force and store is not None:
+        kept = cut_lineage(trials.not_done(store, chunks, keys))  # written elsewhere before the store is
+        kept.unionByName(retrieval.embed_checksum(chunks, "text")).write.mode("overwrite").parquet(a.out)
+    else:
+        documents.append_vectors(retrieval.embed_checksum(_left(chunks, store, keys), "text"), a.out)
 
 
 def full_infer(spark: SparkSession, a: argparse.Namespace) -> None:
