@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsewright.llm.tokenizers import TOKENIZERS_DIR, counter, tokenizer_file
-from parsewright.session import cut_lineage
+from parsewright.session import cut_lineage, spread
 
 #: Parts in which texts of one length are ranked, so that no task ranks all of a frequent length.
 SALTS = 32
@@ -102,7 +102,7 @@ def text_sizes(df: DataFrame, tokenizers: list[str], id_col: str = "doc_id", tex
             sizes = list(zip(*(c(texts) for c in count))) if texts else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(s) for s in sizes], pa.list_(pa.int32()))], names=[id_col, "sizes"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, sizes array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, sizes array<int>")
 
 
 def pack_texts(df: DataFrame, budgets: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS_DIR) -> DataFrame:

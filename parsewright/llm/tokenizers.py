@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -12,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from parsewright.session import spread
+
 #: Where the vocabulary files lie; every function takes another place as a parameter.
 TOKENIZERS_DIR = "/opt/tokenizers"
 # The pattern that parts a text for byte-level BPE, as published with the vocabulary.
@@ -149,14 +152,11 @@ class EncodedText:
         before the edit until it meets an old part's start behind the edit."""
         tail_shift = len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
-        k = 0
-        while k < len(self.starts) and (self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)) + LOOK_AHEAD < start:
-            k += 1
-        behind = {s + tail_shift: i for i, s in enumerate(self.starts) if s >= end}
+        k = max(0, bisect_left(self.starts, start - LOOK_AHEAD) - 1)
         starts, tables, redone, at = self.starts[:k], self.tables[:k], 0, self.starts[k] if k < len(self.starts) else 0
         while at < len(text):
-            if at >= start + len(new) and at in behind:
-                i = behind[at]
+            i = bisect_left(self.starts, max(end, at - tail_shift))
+            if at >= start + len(new) and i < len(self.starts) and self.starts[i] == at - tail_shift:
                 starts += [s + tail_shift for s in self.starts[i:]]
                 tables += self.tables[i:]
                 break
@@ -222,4 +222,4 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
