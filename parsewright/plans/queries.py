@@ -91,6 +91,16 @@ def reasoning_removed(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "results").where("raw_output is not null").select("result_id", T.without_reasoning(F.col("raw_output")).alias("answer"))
 
 
+@_query(f"SELECT result_id, md5({_sql_strip(_REASONING_SQL)}) AS plain_digest, md5({_sql_strip(_REASONING_SQL)}) AS content_digest, md5({_sql_strip(_REASONING_SQL)}) AS choices_digest FROM results WHERE raw_output IS NOT NULL AND NOT starts_with({_sql_strip('raw_output')}, '{{')")
+def response_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of an answer as it is, in a message, and in a list of choices."""
+    raw = F.col("raw_output")
+    found = read_table(spark, d, "results").where(raw.isNotNull() & ~T.strip(raw).startswith("{"))
+    content = F.to_json(F.struct(F.struct(raw.alias("content")).alias("message")))
+    choices = F.to_json(F.struct(F.array(F.struct(F.struct(raw.alias("content")).alias("message"))).alias("choices")))
+    return found.select("result_id", *(F.md5(G.response_text(c)).alias(f"{name}_digest") for name, c in (("plain", raw), ("content", content), ("choices", choices))))
+
+
 _W = r"[\p{L}\p{M}\p{N}\p{Pc}\x{200C}\x{200D}]"
 _NW = r"[^\p{L}\p{M}\p{N}\p{Pc}\x{200C}\x{200D}]"
 _FIRST_SQL = rf"regexp_replace(regexp_replace(regexp_replace({_sql_strip('raw_output')}, '<[^>]*>', '', 'g'), '^{_NW}+', ''), '{_NW}+$', '')"
@@ -202,6 +212,14 @@ def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(store, wanted, 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@_query("SELECT a.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine of each vector and the one with the next id, pair by pair."""
+    store = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    following = store.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("following"))
+    return store.join(following, "vec_id").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("following")), 6).alias("score"))
+
+
 # a made-up score that both engines compute alike: bits of a digest of chunk and question
 _SCORED_SQL = f"""
 scored AS (SELECT c.doc_name, q.query_id, c.chunk_id, c.text, len({_sql_tokens('c.text')}) AS n_tokens, (ascii(md5(c.chunk_id || ':' || q.query_id)) * 16 + ascii(substring(md5(c.chunk_id || ':' || q.query_id), 2, 1))) / 2000.0 AS score
