@@ -88,7 +88,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     documents = read_table(spark, d, "documents")
-    return webspam.score_pages(documents, webspam.fit_prose_model(documents))
+    return webspam.score_all(documents)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rejoined, p2_found, p2_limits, p2_rates, p3_found, p3_statistics, p3_calibration, p4_found, p5_found, p5_repaired, p6_ids, p7_containers, p7_fill, p8_found, p8_scores)}

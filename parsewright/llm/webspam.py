@@ -6,7 +6,9 @@ of prose pages are abnormal, at the high end (links, tags, signs) or the low one
 of an abnormal page's loose text then tells keywords, links and product tags from reference lists, indexes, tables and
 codebooks, which are no prose either. Pages inside the range are never spam, whatever they hold.
 
-Texts become arrays of numbers, one a token, and all that follows is array arithmetic over many pages at once.
+Function words, n-gram counts and the range of prose pages are those of all pages: one pass counts words, one n-grams, and
+one scores; the range is then found exactly among the scores. Texts become arrays of numbers, one a token, and all that
+follows is array arithmetic over many pages at once.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parsewright.session import cut_lineage, spread
@@ -28,8 +30,6 @@ from parsewright.session import cut_lineage, spread
 #: Function words: so many of the most frequent words of at most MAX_LETTERS letters (or CJK characters) under each
 #: language label that LEAST_SHARE of the words bear.
 N_FUNCTION_WORDS, MAX_LETTERS, LEAST_SHARE = 25, 5, 0.004
-#: The model is fitted on the sentences of about so many pages, drawn by a hash of id and text.
-SAMPLE_PAGES, SAMPLE_PARTS = 4_000, 16
 #: Pages are labelled prose for the fit if so much of them is sentences; abnormal is what lies beyond the outer TAIL of them.
 PROSE_SHARE, TAIL = 0.8, 0.04
 #: An abnormal page is spam if this share of its characters is keywords, links or tags.
@@ -44,8 +44,10 @@ _URL_TEXT = r"(?:https?://|www\.)[^\s<>()\[\]\"'|]+"
 _URL = re.compile(_URL_TEXT)
 _CJK = r"぀-ヿ㐀-䶿一-鿿豈-﫿"
 _MARKS = r"̀-ͯؐ-ًؚ-ٰٟۖ-ۭऀ-ः़-ॏ"
-# line end | link | CJK character | word | number | hashtag | markup | end of a sentence | any other sign
-_TOKEN = re.compile(rf"\n|{_URL_TEXT}|[{_CJK}]|[^\W\d_](?:[^\W{_CJK}]|[{_MARKS}@$]|['’-](?=[^\W\d_]))*|\d(?:[\w@$.,:/–-]*[\w%])?|\#\w+|</?[A-Za-z!?][^<>\n]*>|[.!?؟][\"'”’)\]]*(?!\S)|\S")
+# what goes on with a word; runs of plain letters are taken at once
+_REST = rf"[a-z]*(?:(?:[^\W{_CJK}]|[{_MARKS}@$]|['’-](?=[^\W\d_]))[a-z]*)*"
+# word that can't begin a link | line end | link | CJK character | word | number | hashtag | markup | end of a sentence | any other sign
+_TOKEN = re.compile(rf" ?([A-Za-gi-vx-z]{_REST}|\n|{_URL_TEXT}|[{_CJK}]|[^\W\d_]{_REST}|\d(?:[\w@$.,:/–-]*[\w%])?|\#\w+|</?[A-Za-z!?][^<>\n]*>|[.!?؟][\"'”’)\]]*(?!\S)|\S)")
 _YEAR = re.compile(r"\b(?:1[89]|20)\d\d\b|\b\d\d?:\d\d\b")  # also the times of a programme
 _AMOUNT = re.compile(r"\d+\.\d\d")
 _CODE = re.compile(r"[A-Za-z@$]")
@@ -75,6 +77,15 @@ def script_of(word: str) -> str:
     return "cjk" if c >= 0x2E80 else "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "arabic" if 0x600 <= c < 0x780 else "other"
 
 
+def tokens_of(text: str) -> Iterator[list[str]]:
+    """The tokens of a text in stretches of whole lines, so that no long list of strings is held."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= BLOCK_CHARS else text.find("\n", at + BLOCK_CHARS) + 1 or len(text)
+        yield _TOKEN.findall(text, at, end)
+        at = end
+
+
 class Lexer(dict):
     """Token -> number; function words have classes of their own after the named ones. Emptied when large, to bound memory."""
 
@@ -125,14 +136,8 @@ class Lexer(dict):
         return _PUNCT.get(c, OTHER)
 
     def codes(self, text: str) -> list[np.ndarray]:
-        """The tokens of a text as arrays, taken in stretches of whole lines so that no long list of strings is held."""
-        out, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= BLOCK_CHARS else text.find("\n", at + BLOCK_CHARS) + 1 or len(text)
-            found = _TOKEN.findall(text, at, end)
-            out.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
-            at = end
-        return out
+        """The tokens of a text as arrays."""
+        return [np.fromiter(map(self.__getitem__, found), np.int64, len(found)) for found in tokens_of(text)]
 
 
 @dataclass
@@ -194,7 +199,7 @@ class Tokens:
         unit = np.cumsum(parted | before(ended))
         keep = ~line
         unit = unit[keep]
-        _, unit = np.unique(unit, return_inverse=True)
+        unit = np.cumsum(np.diff(unit, prepend=unit[:1]) > 0)
         return cls(len(texts), kind[keep], flags[keep], length[keep], code[keep] >> CLASS_BITS + FLAG_BITS + LENGTH_BITS, unit, page[keep])
 
     def sentences(self) -> np.ndarray:
@@ -217,7 +222,8 @@ class Tokens:
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(history, symbol, unit) of all classes, with an edge before and after each unit."""
         n = len(self.cls)
-        history = np.where(np.isin(np.arange(n), self.first), EDGE, np.concatenate([[EDGE], self.cls[:-1]]) if n else self.cls)
+        history = np.concatenate([[EDGE], self.cls[:-1]]) if n else self.cls.copy()
+        history[self.first] = EDGE
         final = np.concatenate([self.first[1:], [n]]) - 1 if self.n_units else self.first
         return np.concatenate([history, self.cls[final]]), np.concatenate([self.cls, np.zeros(self.n_units, self.cls.dtype)]), np.concatenate([self.unit, np.arange(self.n_units)])
 
@@ -374,41 +380,42 @@ def in_blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def function_words(df: DataFrame, text_col: str, label_col: str) -> list[str]:
+def label_of(lang_col: str | None) -> Column:
+    return F.coalesce(F.substring(F.lower(F.trim(F.col(lang_col).cast("string"))), 1, 2), F.lit("")) if lang_col else F.lit("")
+
+
+def function_words(df: DataFrame, text_col: str, label: Column) -> list[str]:
     """The most frequent short words under each language label that LEAST_SHARE of the words bear; labels that bear less
-    give none, so at most N_FUNCTION_WORDS / LEAST_SHARE rows reach the driver. ``df`` is the bounded sample."""
+    give none, so at most N_FUNCTION_WORDS / LEAST_SHARE rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            rows = list(counts.items())
+            rows = [(label, w, n) for label, own in counts.items() for w, n in own.items() if len(w) <= MAX_LETTERS and w[0].isalpha()]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["label", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int64())], names=["label", "word", "n"])
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.update((label or "", w) for w in _TOKEN.findall(normal(text).lower()) if len(w) <= MAX_LETTERS and w[0].isalpha())
-                if len(counts) > 200_000:
-                    yield out()
+                for found in tokens_of(normal(text).lower()):
+                    counts[label].update(found)
+                    if sum(map(len, counts.values())) > 200_000:
+                        yield out()
         yield out()
 
-    counted = df.select(text_col, label_col).mapInArrow(run, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n"))
-    by_label = Window.partitionBy("label")
-    ranked = counted.withColumn("label_n", F.sum("n").over(by_label)).withColumn("all_n", F.sum("n").over(Window.partitionBy())).withColumn("place", F.row_number().over(by_label.orderBy(F.desc("n"), "word")))
-    return sorted({r.word for r in ranked.where((F.col("place") <= N_FUNCTION_WORDS) & (F.col("label_n") >= LEAST_SHARE * F.col("all_n"))).select("word").distinct().collect()})
-
-
-def fit_prose_model(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PAGES) -> ClassModel:
-    """The n-gram model of the sentences of about ``sample`` pages, and the range of its scale on those of them that are
-    prose. Counts that reach the driver are bounded by the square of the number of classes, scores by the sample."""
-    lang = F.substring(F.lower(F.trim(F.col(lang_col).cast("string"))), 1, 2) if lang_col else F.lit("")
-    text = F.col(text_col)
-    known = df.where(text.isNotNull())
-    n, cells = known.count(), 1 << 30
-    share = cells if n <= sample else max(1, cells * sample // n)
-    picked = cut_lineage(known.where(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(cells)) < share).select(text.alias("text"), F.coalesce(lang, F.lit("")).alias("label")).repartition(SAMPLE_PARTS))
-    words = function_words(picked, "text", "label")
+    counted = cut_lineage(df.select(text_col, label.alias("label")).mapInArrow(run, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")))
+    all_n = counted.agg(F.sum("n")).first()[0] or 0
+    borne = [r.label for r in counted.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SHARE * all_n).collect()]  # at most 1 / LEAST_SHARE
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
+    return sorted({r.word for r in counted.where(F.col("label").isin(borne)).withColumn("place", place).where(F.col("place") <= N_FUNCTION_WORDS).select("word").distinct().collect()})
+
+
+def fit_ngrams(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> ClassModel:
+    """The n-gram model of the sentences of all pages, without a range. Counts that reach the driver are bounded by the
+    square of the number of classes."""
+    picked = spread(_pages(df, text_col))
+    words = function_words(picked, text_col, label_of(lang_col))
     size, skeleton_size = NAMED + len(words), 1 + len(words)
     shape = (size * size, (RUNS + skeleton_size) * skeleton_size)
 
@@ -427,28 +434,67 @@ def fit_prose_model(df: DataFrame, text_col: str = "text", lang_col: str | None
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), which, np.int32)), pa.array(code.astype(np.int64)), pa.array(total[code])], names=["which", "code", "n"])
 
     arrays = [np.zeros(n) for n in shape]
-    for r in picked.select("text").mapInArrow(count, "which int, code bigint, n bigint").groupBy("which", "code").agg(F.sum("n").alias("n")).collect():
+    for r in picked.select(text_col).mapInArrow(count, "which int, code bigint, n bigint").groupBy("which", "code").agg(F.sum("n").alias("n")).collect():
         arrays[r.which][r.code] = r.n
-    model = ClassModel.fit(words, arrays[0].reshape(size, size), arrays[1].reshape(RUNS + skeleton_size, skeleton_size))
+    return ClassModel.fit(words, arrays[0].reshape(size, size), arrays[1].reshape(RUNS + skeleton_size, skeleton_size))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexer = Lexer(words)
-        for batch in batches:
-            for texts in in_blocks(batch.column(0).to_pylist()):
-                t = Tokens.of(texts, lexer)
-                sizes = t.per_unit(t.length)
-                prose = np.bincount(t.unit_page, sizes * t.sentences(), t.n_pages) > PROSE_SHARE * np.bincount(t.unit_page, sizes, t.n_pages)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in model.scores(t)[prose].T], names=list(SCALES))
 
-    found = picked.select("text").mapInArrow(score, ", ".join(f"{s} double" for s in SCALES)).collect()
-    if found:
-        model.low, model.high = np.quantile(np.array(found), [TAIL, 1 - TAIL], axis=0)
-    return model
+#: Bits of a score that each round of ``exact_quantiles`` tells apart.
+ROUND_BITS = 16
 
 
-def score_pages(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the page's SCALES, ``abnormal``, the statistics of its loose text (how it repeats itself only of abnormal
-    pages) and ``spam``, one row per row whose text is not null or blank."""
+def exact_quantiles(df: DataFrame, cols: tuple[str, ...], at: tuple[float, ...]) -> np.ndarray | None:
+    """``np.quantile`` of columns of doubles without nulls, ``at`` by ``cols``; None without rows.
+
+    The values next to each quantile are found from their leading bits on: each round counts the next ROUND_BITS of the
+    values that agree with one of them so far, so what is held is bounded, however many rows there are.
+    """
+    n = df.count()
+    if not n:
+        return None
+    below = [int((n - 1) * q) for q in at]
+    ranks = np.array([[k, min(k + 1, n - 1)] for k in below] * len(cols)).ravel()
+    of = np.repeat(np.arange(len(cols)), 2 * len(at))
+    found = np.zeros(len(ranks), np.uint64)  # the bits so far
+    top = np.uint64(1 << 63)
+
+    for done in range(0, 64, ROUND_BITS):
+        wanted = sorted(set(zip(of.tolist(), found.tolist())))
+        # typed shifts, as numpy mixes no signs
+        shift, digits = np.uint64(64 - done - ROUND_BITS), np.uint64((1 << ROUND_BITS) - 1)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(wanted), 1 << ROUND_BITS), np.int64)
+            for batch in batches:
+                for c in range(len(cols)):
+                    bits = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64).view(np.uint64)
+                    bits = np.where(bits & top > 0, ~bits, bits | top)  # in the order of the values
+                    for k, (col, prefix) in enumerate(wanted):
+                        if col == c:
+                            own = bits if not done else bits[bits >> np.uint64(64 - done) == np.uint64(prefix)]
+                            total[k] += np.bincount((own >> shift & digits).astype(np.int64), minlength=1 << ROUND_BITS)
+            k, digit = total.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(digit.astype(np.int32)), pa.array(total[k, digit])], names=["k", "digit", "n"])
+
+        sums = np.zeros((len(wanted), 1 << ROUND_BITS), np.int64)
+        got = df.select(*cols).mapInArrow(count, "k int, digit int, n bigint").groupBy("k", "digit").agg(F.sum("n").alias("n")).toArrow()
+        sums[got["k"].to_numpy(), got["digit"].to_numpy()] = got["n"].to_numpy()
+        before = sums.cumsum(1)
+        for i, key in enumerate(zip(of.tolist(), found.tolist())):
+            row = before[wanted.index(key)]
+            digit = int(np.searchsorted(row, ranks[i], "right"))
+            ranks[i] -= row[digit - 1] if digit else 0
+            found[i] = np.uint64(int(found[i]) << ROUND_BITS | digit)
+    values = np.where(found & top > 0, found & ~top, ~found).view(np.float64).reshape(len(cols), len(at), 2)
+    return np.array([[np.quantile(values[c, k], (n - 1) * q - below[k]) for c in range(len(cols))] for k, q in enumerate(at)])
+
+
+def _pages(df: DataFrame, text_col: str) -> DataFrame:
+    return df.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"(?U)\S"))
+
+
+def _scan(df: DataFrame, model: ClassModel, id_col: str, text_col: str) -> DataFrame:
+    """``id_col``, SCALES, _STATS, ``prose`` and whether the page's text would be ``spam`` if it were abnormal."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few hundred classes squared
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -459,21 +505,55 @@ def score_pages(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_c
             done = 0
             for texts in in_blocks(batch.column(1).to_pylist()):
                 t = Tokens.of(texts, lexer)
-                scores = m.scores(t)
-                abnormal = m.abnormal(scores)
-                stats = loose_text(t, abnormal)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *(pa.array(x) for x in scores.T), pa.array(abnormal), *(pa.array(stats[c].astype(float)) for c in _STATS), pa.array(abnormal & loose_is_spam(stats))], names=[id_col, *SCALES, "abnormal", *_STATS, "spam"])
+                stats = loose_text(t, np.ones(t.n_pages, bool))
+                prose = stats["sentences"] > PROSE_SHARE * stats["n"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *(pa.array(x) for x in m.scores(t).T), *(pa.array(stats[c].astype(float)) for c in _STATS), pa.array(prose), pa.array(loose_is_spam(stats))], names=[id_col, *SCALES, *_STATS, "prose", "spam"])
                 done += len(texts)
 
-    text = F.col(text_col)
-    known = df.where(text.isNotNull() & text.rlike(r"(?U)\S")).select(id_col, text_col)
-    return spread(known).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} double' for c in SCALES)}, abnormal boolean, {', '.join(f'{c} double' for c in _STATS)}, spam boolean")
+    return spread(_pages(df, text_col).select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} double' for c in (*SCALES, *_STATS))}, prose boolean, spam boolean")
+
+
+def set_range(model: ClassModel, scanned: DataFrame) -> None:
+    """The range of all prose pages."""
+    found = exact_quantiles(scanned.where("prose"), SCALES, (TAIL, 1 - TAIL))
+    if found is not None:
+        model.low, model.high = found
+
+
+def _judged(scanned: DataFrame, model: ClassModel, id_col: str) -> DataFrame:
+    low, high = ([F.lit(float(x)) for x in side] for side in (model.low, model.high))
+    c, w, s = (F.col(x) for x in SCALES)
+    # as ClassModel.abnormal
+    abnormal = scanned.withColumn("abnormal", (c < low[0]) | (w < low[1]) | (w > high[1]) | (s > high[2]))
+    repeats = [F.when(F.col("abnormal"), F.col(x)).otherwise(0.0).alias(x) for x in _STATS[6:]]
+    return abnormal.select(id_col, *SCALES, "abnormal", *_STATS[:6], *repeats, (F.col("abnormal") & F.col("spam")).alias("spam"))
+
+
+def fit_prose_model(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", id_col: str = "doc_id") -> ClassModel:
+    """The n-gram model of the sentences of all pages, and the range of its scale on all those that are prose."""
+    model = fit_ngrams(df, text_col, lang_col)
+    set_range(model, cut_lineage(_scan(df, model, id_col, text_col).select(*SCALES, "prose")))
+    return model
+
+
+def score_pages(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, the page's SCALES, ``abnormal``, the statistics of its loose text (how it repeats itself only of abnormal
+    pages) and ``spam``, one row per row whose text is not null or blank."""
+    return _judged(_scan(df, model, id_col, text_col), model, id_col)
+
+
+def score_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """``score_pages`` under ``fit_prose_model`` of the same rows, which are scanned once for both."""
+    model = fit_ngrams(df, text_col, lang_col)
+    scanned = cut_lineage(_scan(df, model, id_col, text_col))
+    set_range(model, scanned)
+    return _judged(scanned, model, id_col)
 
 
 def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Ids of the pages most of whose text is keywords, links or product tags; equal rows come out each.
 
-    Null, empty and blank texts are no pages. The model is fitted on a sample of the same rows; with
+    Null, empty and blank texts are no pages. The model is fitted on all of the same rows; with
     an empty table it knows nothing and the result is empty. Other columns play no part.
     """
-    return score_pages(df, fit_prose_model(df, text_col, lang_col, id_col), id_col, text_col).where("spam").select(id_col)
+    return score_all(df, id_col, text_col, lang_col).where("spam").select(id_col)

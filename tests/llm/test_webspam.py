@@ -1,6 +1,7 @@
 """The perplexity under the prose model decides which pages can be spam at all."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -76,3 +77,39 @@ def test_the_cost_of_a_page_grows_in_proportion():
 def test_a_table_of_one_page_and_of_none(spark):
     one = spark.createDataFrame([(1, prose(3, 1), None, 2)], "doc_id long, text string, lang string, spam int")
     assert webspam.find_spam(one).count() == 0 and webspam.find_spam(one.limit(0)).count() == 0
+
+
+def test_the_model_is_fitted_on_all_pages(spark):
+    texts = [prose(2, i) + (" Of cats." if i % 3 else " #tag") for i in range(5_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    model = webspam.fit_prose_model(df, lang_col=None)
+    words = Counter(w for t in texts for w in webspam._TOKEN.findall(t.lower()) if len(w) <= webspam.MAX_LETTERS and w[0].isalpha())
+    assert model.function_words == sorted(sorted(words, key=lambda w: (-words[w], w))[: webspam.N_FUNCTION_WORDS])
+    t = webspam.Tokens.of(texts, webspam.Lexer(model.function_words))
+    sentence = t.sentences()
+    counts = []
+    for (h, s, unit), shape in zip((t.bigrams(), t.skeleton()), (model.classes.logp.shape, model.words.logp.shape)):
+        counts.append(np.zeros(shape))
+        np.add.at(counts[-1], (h[sentence[unit]], s[sentence[unit]]), 1)
+    expected = webspam.ClassModel.fit(model.function_words, *counts)
+    assert all(np.array_equal(getattr(model, k).logp, getattr(expected, k).logp) for k in ("classes", "words", "shares"))
+    stats = webspam.loose_text(t, np.zeros(len(texts), bool))
+    prose_scores = expected.scores(t)[stats["sentences"] > webspam.PROSE_SHARE * stats["n"]]
+    assert len(prose_scores) > 4_000 and np.allclose([model.low, model.high], np.quantile(prose_scores, [webspam.TAIL, 1 - webspam.TAIL], axis=0), rtol=1e-12, atol=0)
+    # one scan for both gives the same
+    rows = lambda scores: sorted(map(tuple, scores.collect()))
+    assert rows(webspam.score_all(df, lang_col=None)) == rows(webspam.score_pages(df, model))
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=999), rng.integers(-2, 2, 999) * 1.0, np.zeros(999)])
+    at = (0.0, 0.04, 0.5, 0.96, 1.0)
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    assert np.array_equal(webspam.exact_quantiles(df, ("a", "b", "c"), at), np.quantile(x, at, axis=0))
+    assert np.array_equal(webspam.exact_quantiles(df.limit(1), ("a",), at), np.full((5, 1), df.first().a)) and webspam.exact_quantiles(df.limit(0), ("a",), at) is None
+
+
+def test_links_and_words_are_told_apart():
+    text = "word http://a.b www.x www. hat's don't w h2o -- a@b\n中文 été 5% #tag <b>x</b> end.)  Way"
+    assert webspam._TOKEN.findall(text) == ["word", "http://a.b", "www.x", "www", ".", "hat's", "don't", "w", "h2o", "-", "-", "a@b", "\n", "中", "文", "été", "5%", "#tag", "<b>", "x", "</b>", "end", ".)", "Way"]
