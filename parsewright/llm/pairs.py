@@ -3,8 +3,8 @@
 Each output is taken out of its wrapping (reasoning, JSON, markup, lead-ins). What is left is compared
 with the question: a naive Bayes model of character n-grams gives the language of both, the likelihood that a text
 ends after its last characters, by a character n-gram model with an end symbol, tells cut-off endings, an alignment
-tells copies, and a naive Bayes model of words and word pairs tells refusals. The models are fitted on all distinct
-answers, but for the refusals', which is fitted on a bounded sample of weakly labelled ones.
+tells copies, and a naive Bayes model of words and word pairs tells refusals. All models are fitted on all distinct
+answers, weakly labelled, and on all questions.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,15 @@ MARGIN, MARGIN_PER_CHAR = 1.2, 0.05
 ENDING_NGRAMS, BACKOFF, LEAST_END = (2, 3, 4, 5, 6, 8, 10, 13, 16), 2.0, 0.04
 #: Cells of the filter that keeps n-grams from being counted that no ending asks for.
 FILTER_BITS = 1 << 23
-#: The refusals' model is fitted on so many weakly labelled refusals and answers at most, those with the smallest hash.
-SAMPLE_REFUSALS, SAMPLE_ANSWERS = 2_000, 8_000
-#: Log-odds of a refusal, over the root of the number of features, from which a text is one.
-REFUSED = 4.5
+#: What a language's answers, and all questions, weigh in n-grams at most.
+MOST_WEIGHT = 200_000
+#: Log-odds of a refusal, over the root of the number of features, from which a text is one; a feature's odds in millionths, at
+#: most so large; and the share of texts that is added to each feature's, in refusals and in answers.
+REFUSED, UNIT, MOST_ODDS, RARE = 4.5, 1_000_000, 3.0, 1e-5
+#: Cells that hold the largest odds of the features hashed into them, a power of two.
+ODDS_CELLS = 1 << 20
+#: Hashes of features that a worker remembers.
+REMEMBERED_KEYS = 200_000
 #: Questions up to which the catalogue is broadcast; a larger one is joined to the answers.
 MOST_QUESTIONS = 20_000
 #: Answers whose result a task remembers.
@@ -58,7 +64,7 @@ _QUOTED = re.compile(r"[“\"«„][^“”\"«»„]{0,200}[”\"»“]")
 _DIGITS = re.compile(r"\d+")
 _SEGMENT = re.compile(r"([^.,;:!?()\[\]\n…“”\"]+)([.,;:!?()\[\]\n…“”\"]*)")
 _SELF = re.compile(r"\b(?:i|i'm|i’m|i'd|i'll|me|my|mine|this assistant|this model)\b|\bas an? (?:ai|language model|assistant)", re.I)
-# Ways to decline a task, in the first person; they only give weak labels to the sample.
+# Ways to decline a task, in the first person; they only give weak labels.
 _DECLINE = re.compile(
     r"can(?:no|['’])t\b|can not|won['’]?t|will not|\bunable\b|\bnot able\b|n['’]?o?t (?:be )?(?:possible|able|appropriate|permitted|allowed|comfortable|willing|something|in a position)|not (?:feel|permitted|allowed|willing)"
     r"|refrain|declin|prefer not|keeps? me from|prevents? me|stops? me|against my|outside (?:of )?(?:what|my)|beyond (?:what|my)|no ability|do not have (?:the ability|access)|don['’]t have (?:the ability|access)|refus|must not|should not|no answer can be given|not going to",
@@ -145,7 +151,7 @@ def looks_refused(text: str) -> bool:
     return bool(_DECLINE.search(low) and (_SELF.search(low) or re.search(r"\bno answer can be given\b|^\W*(?:sorry|apolog|my apolog|unfortunately)", low, re.I)) and _TASK.search(low)) or bool(re.search(r"\bas an? (?:ai|language) (?:model|assistant)\b|^\W*(?:sorry\W+)?i (?:must|have to) (?:decline|refuse)\W*$", low, re.I))
 
 
-# Refusals and answers that the sample always holds, so that a table without any has a model as well.
+# Refusals and answers that are always counted, so that a table without any has a model as well.
 _SEED_REFUSALS = (
     "I'm sorry, but I can't help with that.", "I cannot answer this question.", "I am unable to code this item.", "Sorry, I can't process this document.", "I must decline.", "As an AI assistant, I am not able to judge this.",
     "I won't complete this task.", "My guidelines do not allow me to answer.", "I would rather not answer that.", "I am not permitted to read this excerpt.", "Unfortunately, I cannot assist with this request.", "I don't feel comfortable answering this.",
@@ -163,17 +169,59 @@ def refusal_features(text: str) -> set[str]:
     return {*words[1:-1], *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+class Keys(dict):
+    """Feature -> 64-bit hash. Emptied when large; it only saves time."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > REMEMBERED_KEYS:
+            self.clear()
+        key = self[feature] = int.from_bytes(blake2b(feature.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        return key
+
+
+_KEYS = Keys()
+#: The feature that every text has; it isn't one of ``refusal_features``.
+ANY = Keys()[""]
+
+
+def refusal_keys(text: str) -> list[int]:
+    return [_KEYS[f] for f in refusal_features(text)]
+
+
+def odds(yes, no, refusals: int, answers: int, log: Callable):  # noqa: ANN001, ANN201
+    """Log-odds of features that so many refusals and answers have, as numbers, arrays or columns; 0 if no text has them."""
+    return log(yes / (refusals + 1) + RARE) - log(no / (answers + 1) + RARE)
+
+
 class Refusals:
-    """Naive Bayes on the presence of features; features that no labelled text has count for neither side."""
+    """Naive Bayes on the presence of features; features that no labelled text has count for neither side.
+
+    Each cell has the largest odds of its features, so a score is that of the text or, where features share cells, higher.
+    """
 
     def __init__(self, refusals: list[str], answers: list[str]):
         refusals, answers = [*refusals, *_SEED_REFUSALS], [*answers, *_SEED_ANSWERS]
-        yes, no = (Counter(f for t in texts for f in refusal_features(t)) for texts in (refusals, answers))
-        self.weight = {f: max(-3.0, min(3.0, math.log((yes[f] + 0.02) / (len(refusals) + 1)) - math.log((no[f] + 0.02) / (len(answers) + 1)))) for f in yes | no}
+        yes, no = (Counter(k for t in texts for k in refusal_keys(t)) for texts in (refusals, answers))
+        keys = list(yes | no)
+        found = odds(np.array([yes[k] for k in keys]), np.array([no[k] for k in keys]), len(refusals), len(answers), np.log)
+        self.most = np.full(ODDS_CELLS, -UNIT * 10, np.int32)
+        np.maximum.at(self.most, np.array([k & ODDS_CELLS - 1 for k in keys]), np.rint(np.clip(found, -MOST_ODDS, MOST_ODDS) * UNIT).astype(np.int32))
+        self.most[self.most == -UNIT * 10] = 0
+
+    @classmethod
+    def of(cls, weights: DataFrame) -> Refusals:
+        """The model of ``refusal_weights``: at most ODDS_CELLS numbers reach the driver."""
+        self = cls.__new__(cls)
+        cells = ODDS_CELLS
+        got = weights.groupBy(F.pmod("key", F.lit(cells)).alias("cell")).agg(F.max("weight").alias("most")).toArrow()
+        self.most = np.zeros(cells, np.int32)
+        self.most[got["cell"].to_numpy()] = got["most"].to_numpy()
+        return self
 
     def score(self, text: str) -> float:
-        found = refusal_features(text)
-        return sum(self.weight.get(f, 0.0) for f in found) / math.sqrt(len(found))
+        keys = refusal_keys(text)
+        mask = len(self.most) - 1
+        return int(self.most[[k & mask for k in keys]].sum(dtype=np.int64)) / UNIT / math.sqrt(len(keys))
 
     def refused(self, text: str) -> bool:
         return self.score(text) >= REFUSED
@@ -359,17 +407,45 @@ def distinct_answers(results: DataFrame, text_col: str = "raw_output") -> DataFr
     return raw.mapInArrow(run, "text string, n bigint, refused boolean").groupBy("text").agg(F.sum("n").alias("n"), F.first("refused").alias("refused"))
 
 
-def fit_refusals(answers: DataFrame) -> Refusals:
-    """The model of a bounded sample of ``distinct_answers``; each task hands on no more than the sample's size."""
-    sample = {}
-    for label, most in ((True, SAMPLE_REFUSALS), (False, SAMPLE_ANSWERS)):
-        sample[label] = [r.text for r in answers.where(F.col("refused") == label).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(most).collect()]
-    # texts in the first person that bear no label teach nothing
-    return Refusals(sample[True], [t for t in sample[False] if not _SELF.search(_QUOTED.sub(" ", t))])
+def refusal_weights(answers: DataFrame) -> DataFrame:
+    """``key`` and ``weight``, the odds in units of 1 / UNIT, of each feature of all ``distinct_answers``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[int] = []
+            sizes, yes, no = [], [], []
+            for text, refused in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = refusal_keys(text)
+                keys += own
+                keys.append(ANY)
+                sizes.append(len(own) + 1)
+                yes.append(refused)
+                # texts in the first person that bear no label teach nothing
+                no.append(not refused and not _SELF.search(_QUOTED.sub(" ", text)))
+            found, at = np.unique(np.array(keys, np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.bincount(at, np.repeat(x, sizes), len(found)).astype(np.int64)) for x in (yes, no))], names=["key", "yes", "no"])
+
+    seeds = answers.sparkSession.createDataFrame([(t, True) for t in _SEED_REFUSALS] + [(t, False) for t in _SEED_ANSWERS], "text string, refused boolean")
+    counted = cut_lineage(answers.select("text", "refused").unionByName(seeds.coalesce(1)).mapInArrow(count, "key bigint, yes bigint, no bigint").groupBy("key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
+    n = counted.where(F.col("key") == ANY).first()
+    found = F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), odds(F.col("yes"), F.col("no"), n.yes, n.no, F.log)))
+    return counted.where(F.col("key") != ANY).select("key", F.round(found * UNIT).cast("bigint").alias("weight"))
+
+
+def refused_texts(texts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Those ``text`` that are refusals by all ``refusal_weights``, which are joined to the features of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [refusal_keys(t) for t in batch.column(0).to_pylist()]
+            sizes = np.array([len(k) for k in keys], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array([x for k in keys for x in k], pa.int64())], names=["text", "size", "key"])
+
+    return texts.select("text").mapInArrow(run, "text string, size int, key bigint").join(weights, "key").groupBy("text", "size").agg(F.sum("weight").alias("weight")).where(F.col("weight") / UNIT / F.sqrt("size") >= REFUSED).select("text")
 
 
 def fit_languages(answers: DataFrame, common_words: DataFrame, queries: DataFrame) -> Languages:
-    """Naive Bayes fitted on all ``distinct_answers``, labelled weakly by common words, and on the questions and word lists themselves.
+    """Naive Bayes fitted on all ``distinct_answers``, labelled weakly by common words, and on all questions and word lists themselves.
 
     Per partition only the table of cells is kept, so what reaches the driver is bounded by languages times cells.
     """
@@ -396,12 +472,24 @@ def fit_languages(answers: DataFrame, common_words: DataFrame, queries: DataFram
         counts[r.lang, r.cell] = r.n
     # languages count alike, however many answers there are in each; the lists keep rare ones from being empty
     totals = counts.sum(1, keepdims=True)
-    counts = np.where(totals > 0, counts / np.maximum(totals, 1) * np.minimum(totals, 200_000), 0)
+    counts = np.where(totals > 0, counts / np.maximum(totals, 1) * np.minimum(totals, MOST_WEIGHT), 0)
     for word, langs in common.items():
         for lang in langs:
             np.add.at(counts[at[lang]], ngram_cells([word])[0], 3)
-    for q in queries.select("label", "description").limit(MOST_QUESTIONS).collect():  # the sample of the first language's labelled texts
-        np.add.at(counts[0], ngram_cells([f"{q.label or ''} {q.description or ''}"])[0], 3)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            cells, _ = ngram_cells([f"{label or ''} {description or ''}" for label, description in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
+            total += np.bincount(cells, minlength=CELLS)
+        cell = total.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    # the questions are labelled texts of the first language
+    asked = np.zeros(CELLS)
+    for r in queries.select("label", "description").mapInArrow(ask, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        asked[r.cell] = 3 * r.n
+    counts[0] += asked * min(1.0, MOST_WEIGHT / max(1.0, asked.sum()))
     return Languages(names, counts)
 
 
@@ -457,7 +545,8 @@ def find_defects(results: DataFrame, queries: DataFrame, common_words: DataFrame
     """
     spark = results.sparkSession
     answers = cut_lineage(distinct_answers(results))
-    questions, languages, refusals = catalogue(queries), fit_languages(answers, common_words, queries), fit_refusals(answers)
+    weights = refusal_weights(answers)
+    questions, languages, refusals = catalogue(queries), fit_languages(answers, common_words, queries), Refusals.of(weights)
     shared = spark.sparkContext.broadcast((questions, languages, refusals))
     kind = results.schema[id_col].dataType.simpleString()
 
@@ -465,23 +554,24 @@ def find_defects(results: DataFrame, queries: DataFrame, common_words: DataFrame
         s = languages.scores(" ".join(question.main)) if question else None
         return 0 if s is None else int(s.argmax())
 
-    def judge(raw: str | None, question: Question | None, language: int) -> tuple[str | None, str | None]:
+    def judge(raw: str | None, question: Question | None, language: int) -> tuple[str | None, str | None, bool, bool]:
+        """Defect but for refusals and open ends, the text if those are to be looked at, and which of them."""
         _, languages, refusals = shared.value
         state, text = unwrap(raw)
         if state != "text":
-            return state, None
+            return state, None, False, False
         if _SIMPLE.match(text):
-            return None, None
+            return None, None, False, False
         own = _QUOTED.sub(" ", text)
-        if refusals.refused(text):
-            return "refusal", None
+        maybe = refusals.refused(text)
         if question and question.copied(text):
-            return "copy", None
-        if languages.differs(own if words_of(own) else text, language):
-            return "language", None
-        if _unclosed(text):
-            return "truncated", None
-        return None, text if is_open(text) else None
+            defect = "copy"
+        elif languages.differs(own if words_of(own) else text, language):
+            defect = "language"
+        else:
+            defect = "truncated" if _unclosed(text) else None
+        opened = defect is None and is_open(text)
+        return defect, text if maybe or opened else None, maybe, opened
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, languages, _ = shared.value
@@ -502,7 +592,7 @@ def find_defects(results: DataFrame, queries: DataFrame, common_words: DataFrame
                         seen.clear()
                     found = seen[raw, query] = judge(raw, *asked.get(query, (None, 0)))
                 out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["id", "defect", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.bool_())))], names=["id", "defect", "text", "maybe", "opened"])
 
     rows = results.select(F.col(id_col).alias("id"), F.col("raw_output").alias("raw"), F.col("query_id").cast("string").alias("query"))
     if questions is None:
@@ -510,9 +600,14 @@ def find_defects(results: DataFrame, queries: DataFrame, common_words: DataFrame
         rows = rows.join(texts, "query", "left").select("id", "raw", "query", "asked")
     else:
         rows = spread(rows)
-    checked = cut_lineage(rows.mapInArrow(run, f"id {kind}, defect string, text string").where("defect is not null or text is not null"))
-    opened = checked.where("text is not null")
+    checked = cut_lineage(rows.mapInArrow(run, f"id {kind}, defect string, text string, maybe boolean, opened boolean").where("defect is not null or text is not null"))
+    # of the texts whose score could be a refusal's, those whose score is one
+    maybe = checked.where("maybe")
+    refused = refused_texts(maybe.select("text").distinct(), weights).withColumn("refused", F.lit(True))
+    looked = maybe.join(refused, "text", "left").withColumn("defect", F.when(F.col("refused"), "refusal").otherwise(F.col("defect")))
+    known = cut_lineage(checked.where("not maybe").select("id", "defect", "text", "opened").unionByName(looked.select("id", "defect", "text", "opened")))
+    opened = known.where("opened and defect is null")
     # every ending once, however often it is given; the join has the open rows alone
     cut = cut_endings(answers, opened.select("text").distinct())
     found = opened.join(cut, "text", "left_semi").select("id", F.lit("truncated").alias("defect"))
-    return checked.where("defect is not null").select("id", "defect").unionByName(found).withColumnRenamed("id", id_col)
+    return known.where("defect is not null").select("id", "defect").unionByName(found).withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import re
@@ -268,6 +269,51 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch, bits):
     assert {r.text for r in pairs.cut_endings(answers, answers.select("text").where("text not like '%term%'")).collect()} == {"the learning ra"}
 
 
+def test_all_questions_teach_the_language(spark, monkeypatch):
+    answers = spark.createDataFrame([("the nurses were recruited at the hospital", 3, False)], "text string, n long, refused boolean")
+    texts = [f"{a} {b}" for a in ("vexing", "quixotic", "zephyr", "jumbled") for b in ("population", "sample", "wave")]
+    questions = spark.createDataFrame([(t, f"What about {t}?") for t in texts], "label string, description string").repartition(3)
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    monkeypatch.setattr(pairs, "MOST_QUESTIONS", 1)
+    few = pairs.fit_languages(answers, common, questions)
+    assert np.array_equal(few.logp, pairs.fit_languages(answers, common, questions.coalesce(1)).logp)
+    assert np.array_equal(few.logp, pairs.fit_languages(answers.limit(1), common, questions.orderBy("label")).logp)
+    none = pairs.fit_languages(answers, common, questions.limit(0))
+    cells = pairs.ngram_cells(texts)[0]
+    assert (few.logp[0, cells] > none.logp[0, cells]).mean() > 0.9
+    # however many there are, they weigh no more than a language's answers may
+    monkeypatch.setattr(pairs, "MOST_WEIGHT", 10)
+    assert np.abs(np.exp(pairs.fit_languages(answers, common, questions).logp[0]).sum() - 1) < 1e-3
+
+
+def test_all_answers_teach_refusals(spark):
+    sound = [f"The authors report value {k} of scale {k % 97}." for k in range(8_500)]
+    declined = [f"I cannot answer item {k}." for k in range(2_200)]
+    own = [f"In my study {k} nurses took part." for k in range(20)]
+    rows = [(t, 1, False) for t in sound + own] + [(t, 1, True) for t in declined]
+    got = {r.key: r.weight for r in pairs.refusal_weights(spark.createDataFrame(rows, "text string, n long, refused boolean").repartition(3)).collect()}
+    yes, no = (Counter(f for t in texts for f in pairs.refusal_features(t)) for texts in ((*declined, *pairs._SEED_REFUSALS), (*sound, *pairs._SEED_ANSWERS)))
+    a, b = len(declined) + len(pairs._SEED_REFUSALS), len(sound) + len(pairs._SEED_ANSWERS)
+    every = {f for t, *_ in rows for f in pairs.refusal_features(t)} | set(yes) | set(no)
+    expected = {pairs.Keys()[f]: round(min(3.0, max(-3.0, math.log(yes[f] / (a + 1) + pairs.RARE) - math.log(no[f] / (b + 1) + pairs.RARE))) * pairs.UNIT) for f in every}
+    assert set(got) == set(expected) and all(abs(got[k] - w) <= 1 for k, w in expected.items())
+    assert len(expected) == len(every) and got[pairs.Keys()["my study"]] == 0
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 1])
+def test_shared_cells_change_nothing(spark, monkeypatch, cells):
+    sound = ["The authors report that nurses took part.", "Nurses on the wards.", "The scale was read aloud by two raters.", "Two parents declined to answer."]
+    declined = ["I'm sorry, but I cannot answer this question.", "I am unable to code this item.", "I won't read this document for policy reasons."]
+    exact = pairs.Refusals(declined, sound)
+    monkeypatch.setattr(pairs, "ODDS_CELLS", cells)
+    rows = [(i, "1.1", t) for i, t in enumerate(sound * 2 + declined * 2 + ["I am unable to read this question.", None, "B"])]
+    results = spark.createDataFrame(rows, "result_id long, query_id string, raw_output string")
+    questions = spark.createDataFrame([("1.1", "Population", QUESTION, "", "", None)], "query_id string, label string, description string, description_detailed string, instructions string, prompts struct<base_prompt:string>")
+    got = pairs.find_defects(results, questions, spark.createDataFrame(COMMON, "lang string, word string")).collect()
+    assert {r.result_id for r in got if r.defect == "refusal"} == {i for i, _, t in rows if t and exact.refused(t)} == {8, 9, 10, 11, 12, 13, 14}
+    assert {r.result_id: r.defect for r in got if r.defect != "refusal"} == {15: "empty"}
+
+
 # --- 5: scans -------------------------------------------------------------------------------------------------
 
 
