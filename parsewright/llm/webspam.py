@@ -6,8 +6,9 @@ of prose pages are abnormal, at the high end (links, tags, signs) or the low one
 of an abnormal page's loose text then tells keywords, links and product tags from reference lists, indexes, tables and
 codebooks, which are no prose either. Pages inside the range are never spam, whatever they hold.
 
-Function words, n-gram counts and the range of prose pages are those of all pages: one pass counts words, one n-grams, and
-one scores; the range is then found exactly among the scores. Texts become arrays of numbers, one a token, and all that
+Function words, n-gram counts and the range of prose pages are those of all pages. Texts are read twice, to count words and
+to take tokens; what n-grams and scores need of the tokens, two bytes each, is kept. The range is then found exactly among
+the scores. Texts become arrays of numbers, one a token, and all that
 follows is array arithmetic over many pages at once.
 """
 
@@ -37,7 +38,7 @@ MOST = 0.3
 #: Keywords: share that the ten most frequent content words have, distinct words per word, numbers per token.
 REPEATED, DISTINCT, NUMBERS = 0.45, 0.55, 0.24
 #: Characters that are turned into arrays together.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 17
 
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _URL_TEXT = r"(?:https?://|www\.)[^\s<>()\[\]\"'|]+"
@@ -154,6 +155,7 @@ class Tokens:
     page: np.ndarray
     unit_page: np.ndarray = field(init=False)
     first: np.ndarray = field(init=False)
+    _sentences: np.ndarray | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.first = np.flatnonzero(np.diff(self.unit, prepend=-1)) if len(self.unit) else np.zeros(0, np.int64)
@@ -205,6 +207,11 @@ class Tokens:
     def sentences(self) -> np.ndarray:
         """Whether each unit is one: it ends like one, has words enough and function words among them, no links or tags, and
         doesn't repeat its content words."""
+        if self._sentences is None:
+            self._sentences = self._found_sentences()
+        return self._sentences
+
+    def _found_sentences(self) -> np.ndarray:
         c = self.cls
         function = self.per_unit((c >= NAMED) & (self.flags & CJK_FUNCTION == 0))
         cjk = self.per_unit((c == CJK) | (self.flags & CJK_FUNCTION > 0))
@@ -219,6 +226,32 @@ class Tokens:
         plain = (content + function >= 5) & (function >= 0.1 * (content + function)) & ((twice < 2) | (twice < 0.25 * content))
         return ends & (linked == 0) & ((cjk >= 6) | (script + function >= 3) & (script >= content) | plain)
 
+    def packed(self) -> pa.Array:
+        """The classes of each page as bytes, two a token, with a mark after each unit: SENTENCE or EDGE."""
+        out = np.empty(len(self.cls) + self.n_units, np.uint16)
+        out[np.arange(len(self.cls)) + self.unit] = self.cls
+        out[np.concatenate([self.first[1:], [len(self.cls)]])[: self.n_units] + np.arange(self.n_units)] = np.where(self.sentences(), SENTENCE, EDGE)
+        sizes = np.bincount(self.page, minlength=self.n_pages) + np.bincount(self.unit_page, minlength=self.n_pages)
+        ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), self.n_pages, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+    @classmethod
+    def unpacked(cls, pages: pa.Array) -> Iterator[Tokens]:
+        """What ``packed`` keeps of pages in order, BLOCK_CHARS tokens or one page together: classes, units and sentences."""
+        ends = np.frombuffer(pages.buffers()[1], np.int32)[pages.offset : pages.offset + len(pages) + 1]
+        at = 0
+        while at < len(pages):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 2 * BLOCK_CHARS, "right")) - 1)
+            code = np.frombuffer(pages.buffers()[2] or b"", np.uint8)[ends[at] : ends[to]].view(np.uint16).astype(np.int64)
+            mark = (code == EDGE) | (code == SENTENCE)
+            keep = ~mark
+            page = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]) // 2)
+            none = np.zeros(0, np.int64)
+            t = cls(to - at, code[keep], none, none, none, (np.cumsum(mark) - mark)[keep], page[keep])
+            t._sentences = code[mark] == SENTENCE
+            yield t
+            at = to
+
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(history, symbol, unit) of all classes, with an edge before and after each unit."""
         n = len(self.cls)
@@ -247,6 +280,8 @@ def _cjk_stops() -> np.ndarray:
     return np.array([zlib.crc32(x.encode()) & (1 << WORD_BITS) - 1 for x in "。！？"])
 
 
+#: The mark of a unit that is a sentence; no class has it.
+SENTENCE = (1 << 16) - 1
 #: Content words in a row that a history tells apart.
 RUNS = 5
 
@@ -411,20 +446,16 @@ def function_words(df: DataFrame, text_col: str, label: Column) -> list[str]:
     return sorted({r.word for r in counted.where(F.col("label").isin(borne)).withColumn("place", place).where(F.col("place") <= N_FUNCTION_WORDS).select("word").distinct().collect()})
 
 
-def fit_ngrams(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> ClassModel:
+def count_ngrams(scanned: DataFrame, words: list[str]) -> ClassModel:
     """The n-gram model of the sentences of all pages, without a range. Counts that reach the driver are bounded by the
     square of the number of classes."""
-    picked = spread(_pages(df, text_col))
-    words = function_words(picked, text_col, label_of(lang_col))
     size, skeleton_size = NAMED + len(words), 1 + len(words)
     shape = (size * size, (RUNS + skeleton_size) * skeleton_size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexer = Lexer(words)
         counts = [np.zeros(n, np.int64) for n in shape]
         for batch in batches:
-            for texts in in_blocks(batch.column(0).to_pylist()):
-                t = Tokens.of(texts, lexer)
+            for t in Tokens.unpacked(batch.column(0)):
                 sentence = t.sentences()
                 for (h, s, unit), total, width in zip((t.bigrams(), t.skeleton()), counts, (size, skeleton_size)):
                     of = sentence[unit]
@@ -434,7 +465,7 @@ def fit_ngrams(df: DataFrame, text_col: str = "text", lang_col: str | None = "la
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), which, np.int32)), pa.array(code.astype(np.int64)), pa.array(total[code])], names=["which", "code", "n"])
 
     arrays = [np.zeros(n) for n in shape]
-    for r in picked.select(text_col).mapInArrow(count, "which int, code bigint, n bigint").groupBy("which", "code").agg(F.sum("n").alias("n")).collect():
+    for r in scanned.select("packed").mapInArrow(count, "which int, code bigint, n bigint").groupBy("which", "code").agg(F.sum("n").alias("n")).collect():
         arrays[r.which][r.code] = r.n
     return ClassModel.fit(words, arrays[0].reshape(size, size), arrays[1].reshape(RUNS + skeleton_size, skeleton_size))
 
@@ -493,24 +524,35 @@ def _pages(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"(?U)\S"))
 
 
-def _scan(df: DataFrame, model: ClassModel, id_col: str, text_col: str) -> DataFrame:
-    """``id_col``, SCALES, _STATS, ``prose`` and whether the page's text would be ``spam`` if it were abnormal."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few hundred classes squared
+def _scan(df: DataFrame, words: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``id_col``, ``packed`` (``Tokens.packed``), _STATS, ``prose`` and whether the page's text would be ``spam`` if it were abnormal."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lexer = Lexer(m.function_words)
+        lexer = Lexer(words)
         for batch in batches:
             done = 0
             for texts in in_blocks(batch.column(1).to_pylist()):
                 t = Tokens.of(texts, lexer)
                 stats = loose_text(t, np.ones(t.n_pages, bool))
                 prose = stats["sentences"] > PROSE_SHARE * stats["n"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *(pa.array(x) for x in m.scores(t).T), *(pa.array(stats[c].astype(float)) for c in _STATS), pa.array(prose), pa.array(loose_is_spam(stats))], names=[id_col, *SCALES, *_STATS, "prose", "spam"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), t.packed(), *(pa.array(stats[c].astype(float)) for c in _STATS), pa.array(prose), pa.array(loose_is_spam(stats))], names=[id_col, "packed", *_STATS, "prose", "spam"])
                 done += len(texts)
 
-    return spread(_pages(df, text_col).select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} double' for c in (*SCALES, *_STATS))}, prose boolean, spam boolean")
+    return spread(_pages(df, text_col).select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, packed binary, {', '.join(f'{c} double' for c in _STATS)}, prose boolean, spam boolean")
+
+
+def _score(scanned: DataFrame, model: ClassModel, id_col: str) -> DataFrame:
+    """``_scan`` with SCALES in place of ``packed``."""
+    shared = scanned.sparkSession.sparkContext.broadcast(model)  # a few hundred classes squared
+    kind = scanned.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.scores(t) for t in Tokens.unpacked(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (np.concatenate(scores) if scores else np.zeros((0, len(SCALES)))).T), *batch.columns[2:]], names=[id_col, *SCALES, *_STATS, "prose", "spam"])
+
+    return scanned.select(id_col, "packed", *_STATS, "prose", "spam").mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'{c} double' for c in (*SCALES, *_STATS))}, prose boolean, spam boolean")
 
 
 def set_range(model: ClassModel, scanned: DataFrame) -> None:
@@ -529,25 +571,31 @@ def _judged(scanned: DataFrame, model: ClassModel, id_col: str) -> DataFrame:
     return abnormal.select(id_col, *SCALES, "abnormal", *_STATS[:6], *repeats, (F.col("abnormal") & F.col("spam")).alias("spam"))
 
 
+def _fit(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> tuple[ClassModel, DataFrame]:
+    """The model of all pages with its range, and their scores."""
+    words = function_words(spread(_pages(df, text_col)), text_col, label_of(lang_col))
+    scanned = cut_lineage(_scan(df, words, id_col, text_col))
+    model = count_ngrams(scanned, words)
+    scored = cut_lineage(_score(scanned, model, id_col))
+    set_range(model, scored)
+    return model, scored
+
+
 def fit_prose_model(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang", id_col: str = "doc_id") -> ClassModel:
     """The n-gram model of the sentences of all pages, and the range of its scale on all those that are prose."""
-    model = fit_ngrams(df, text_col, lang_col)
-    set_range(model, cut_lineage(_scan(df, model, id_col, text_col).select(*SCALES, "prose")))
-    return model
+    return _fit(df, id_col, text_col, lang_col)[0]
 
 
 def score_pages(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, the page's SCALES, ``abnormal``, the statistics of its loose text (how it repeats itself only of abnormal
     pages) and ``spam``, one row per row whose text is not null or blank."""
-    return _judged(_scan(df, model, id_col, text_col), model, id_col)
+    return _judged(_score(_scan(df, model.function_words, id_col, text_col), model, id_col), model, id_col)
 
 
 def score_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """``score_pages`` under ``fit_prose_model`` of the same rows, which are scanned once for both."""
-    model = fit_ngrams(df, text_col, lang_col)
-    scanned = cut_lineage(_scan(df, model, id_col, text_col))
-    set_range(model, scanned)
-    return _judged(scanned, model, id_col)
+    model, scored = _fit(df, id_col, text_col, lang_col)
+    return _judged(scored, model, id_col)
 
 
 def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

@@ -113,3 +113,18 @@ def test_quantiles_are_exact(spark):
 def test_links_and_words_are_told_apart():
     text = "word http://a.b www.x www. hat's don't w h2o -- a@b\n中文 été 5% #tag <b>x</b> end.)  Way"
     assert webspam._TOKEN.findall(text) == ["word", "http://a.b", "www.x", "www", ".", "hat's", "don't", "w", "h2o", "-", "-", "a@b", "\n", "中", "文", "été", "5%", "#tag", "<b>", "x", "</b>", "end", ".)", "Way"]
+
+
+def test_packed_pages_keep_their_classes(monkeypatch):
+    texts = [prose(3, 1), "", "a - b\nc d | 12.50 |\n#x https://a.example", prose(2, 2) + "\n中文。", ""]
+    t = webspam.Tokens.of(texts, webspam.Lexer(["the", "of"]))
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(webspam, "BLOCK_CHARS", size)
+        for skip in (0, 2):
+            parts = list(webspam.Tokens.unpacked(t.packed().slice(skip)))
+            kept, unit = t.page >= skip, t.unit_page >= skip
+            assert sum(x.n_pages for x in parts) == len(texts) - skip and len(parts) == (1 if size > 1 else len(texts) - skip)
+            assert np.concatenate([x.cls for x in parts]).tolist() == t.cls[kept].tolist()
+            assert np.concatenate([x.sentences() for x in parts]).tolist() == t.sentences()[unit].tolist()
+            assert sum(([len(h) for h, _, _ in (x.bigrams(),)] for x in parts), []) and sum(x.n_units for x in parts) == unit.sum()
+            assert list(webspam.Tokens.unpacked(t.packed().slice(5))) == []
